@@ -154,3 +154,13 @@ def sliding_min(values: np.ndarray, w: int) -> np.ndarray:
     left = np.minimum.accumulate(grid, axis=1).ravel()
     right = np.minimum.accumulate(grid[:, ::-1], axis=1)[:, ::-1].ravel()
     return np.minimum(right[: n - w + 1], left[w - 1 : n])
+
+
+def row_slices_of(block: Block, most: int):
+    """Ranges of documents of at most ``most`` bytes; a longer document stands alone."""
+    a, n = 0, len(block)
+    while a < n:
+        b = int(np.searchsorted(block.offsets, block.offsets[a] + most, side="right")) - 1
+        b = min(n, max(a + 1, b))
+        yield a, b
+        a = b
