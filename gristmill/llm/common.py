@@ -2,15 +2,28 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
 from collections.abc import Iterator
+from pathlib import Path
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 
+def make_importable(spark: SparkSession) -> None:
+    """Let Python workers import this package from where the driver has it. A cluster whose machines
+    don't have that folder needs the package shipped (``--py-files``), as any PySpark library does."""
+    root = str(Path(__file__).resolve().parents[2])
+    env = spark.sparkContext.environment
+    held = env.get("PYTHONPATH", "")
+    if root not in held.split(os.pathsep):
+        env["PYTHONPATH"] = os.pathsep.join(x for x in (root, held) if x)
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    make_importable(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

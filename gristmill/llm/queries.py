@@ -6,10 +6,19 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontam, token_output
+from . import bpe, decontam, token_output, toxicity, url_filter
 from .common import read_table
 
 
+def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.judge(read_table(spark, sf_dir, "pages"), url_filter.train(url_filter.training_urls(spark)))
+
+
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = read_table(spark, sf_dir, "documents")
+    return toxicity.score(documents, toxicity.fit(documents, read_table(spark, sf_dir, "labels")))
+
+
 def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(read_table(spark, sf_dir, "documents"))
 
@@ -23,7 +32,7 @@ def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op5_bpe": op5_bpe, "op9_decontaminate": op9_decontaminate, "op10_token_files": op10_token_files}
+    return {"op1_url_filter": op1_url_filter, "op5_bpe": op5_bpe, "op8_toxicity": op8_toxicity, "op9_decontaminate": op9_decontaminate, "op10_token_files": op10_token_files}
 
 
 def oracle_sql() -> dict[str, str]:
