@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontam, token_output, toxicity, url_filter
+from . import bpe, decontam, substring_dedup, suffix_dedup, token_output, toxicity, url_filter
 from .common import read_table
 
 
@@ -19,6 +19,14 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(documents, toxicity.fit(documents, read_table(spark, sf_dir, "labels")))
 
 
+def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.remove_repeats(read_table(spark, sf_dir, "documents"), digest=True)
+
+
+def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.digest(read_table(spark, sf_dir, "documents"))
+
+
 def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(read_table(spark, sf_dir, "documents"))
 
@@ -32,7 +40,15 @@ def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_url_filter": op1_url_filter, "op5_bpe": op5_bpe, "op8_toxicity": op8_toxicity, "op9_decontaminate": op9_decontaminate, "op10_token_files": op10_token_files}
+    return {
+        "op1_url_filter": op1_url_filter,
+        "op2_substring_dedup": op2_substring_dedup,
+        "op5_bpe": op5_bpe,
+        "op6_suffix_dedup": op6_suffix_dedup,
+        "op8_toxicity": op8_toxicity,
+        "op9_decontaminate": op9_decontaminate,
+        "op10_token_files": op10_token_files,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
