@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontam, substring_dedup, suffix_dedup, token_output, toxicity, url_filter
+from . import bpe, decontam, minhash, substring_dedup, suffix_dedup, token_output, toxicity, url_filter
 from .common import read_table
 
 
@@ -27,6 +27,10 @@ def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.digest(read_table(spark, sf_dir, "documents"))
 
 
+def op3_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(read_table(spark, sf_dir, "documents"))
+
+
 def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(read_table(spark, sf_dir, "documents"))
 
@@ -43,6 +47,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_url_filter": op1_url_filter,
         "op2_substring_dedup": op2_substring_dedup,
+        "op3_minhash": op3_minhash,
         "op5_bpe": op5_bpe,
         "op6_suffix_dedup": op6_suffix_dedup,
         "op8_toxicity": op8_toxicity,
