@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import bpe, decontam, minhash, substring_dedup, suffix_dedup, token_output, toxicity, url_filter
+from . import bpe, decontam, minhash, nn_descent, sharding, substring_dedup, suffix_dedup, token_output, toxicity, url_filter
 from .common import read_table
 
 
@@ -31,6 +32,16 @@ def op3_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(read_table(spark, sf_dir, "documents"))
 
 
+def op4_nn_descent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nn_descent.nearest(read_table(spark, sf_dir, "embeddings"))
+
+
+def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document as read from the compacted store's last manifest."""
+    store = sharding.ingest(read_table(spark, sf_dir, "documents"))
+    return store.read().select("doc_id", "lang", "source", "n_chars", F.md5("text").alias("text_md5"))
+
+
 def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(read_table(spark, sf_dir, "documents"))
 
@@ -48,13 +59,47 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_url_filter": op1_url_filter,
         "op2_substring_dedup": op2_substring_dedup,
         "op3_minhash": op3_minhash,
+        "op4_nn_descent": op4_nn_descent,
         "op5_bpe": op5_bpe,
         "op6_suffix_dedup": op6_suffix_dedup,
+        "op7_sharding": op7_sharding,
         "op8_toxicity": op8_toxicity,
         "op9_decontaminate": op9_decontaminate,
         "op10_token_files": op10_token_files,
     }
 
 
+#: The store must give back what came in, whatever shards it was in on the way.
+OP7_SQL = "SELECT doc_id, lang, source, n_chars, md5(text) AS text_md5 FROM documents"
+
+#: Words and their sets by SQL's own functions; the automaton's query has no part in it.
+OP9_SQL = r"""
+WITH lowered AS (
+  SELECT 'd' AS kind, CAST(doc_id AS VARCHAR) AS id, doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents
+  UNION ALL
+  SELECT 'b', CAST(item_id AS VARCHAR), NULL, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') FROM benchmark
+), lists AS (
+  SELECT kind, id, doc_id, regexp_extract_all(t, '[0-9a-z\x{80}-\x{10FFFF}]+') AS w FROM lowered
+), items AS (
+  SELECT DISTINCT id AS item, array_to_string(w[i : i + least(10, len(w)) - 1], ' ') AS pattern, least(10, len(w)) AS n
+  FROM lists, unnest(range(1, len(w) - least(10, len(w)) + 2)) AS u(i) WHERE kind = 'b' AND len(w) > 0
+), sizes AS (
+  SELECT DISTINCT n FROM items
+), places AS (
+  SELECT doc_id, n, i, array_to_string(w[i : i + n - 1], ' ') AS pattern
+  FROM lists, sizes, unnest(range(1, len(w) - n + 2)) AS u(i) WHERE kind = 'd' AND len(w) >= n
+), hits AS (
+  SELECT p.doc_id, p.i, p.n, t.item FROM places p JOIN items t ON p.pattern = t.pattern AND p.n = t.n
+), covered AS (
+  SELECT doc_id, count(DISTINCT k) AS n_hit FROM hits, unnest(range(i, i + n)) AS u(k) GROUP BY doc_id
+), named AS (
+  SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS listed FROM (SELECT DISTINCT doc_id, item FROM hits) GROUP BY doc_id
+)
+SELECT l.doc_id, CAST(len(l.w) AS BIGINT) AS n_words, coalesce(c.n_hit, 0) AS n_hit, coalesce(m.n_items, 0) AS n_items,
+       sha256(coalesce(m.listed, '')) AS items_sha256, coalesce(c.n_hit, 0) > 0 AS contaminated
+FROM lists l LEFT JOIN covered c ON l.doc_id = c.doc_id LEFT JOIN named m ON l.doc_id = m.doc_id WHERE l.kind = 'd'
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op7_sharding": OP7_SQL, "op9_decontaminate": OP9_SQL}
