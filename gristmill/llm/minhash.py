@@ -13,9 +13,11 @@ similarity of 0.75 a pair shares no band with a probability of 5e-6, and falls b
 
 Candidates never are all pairs of a band. First each member is compared with the smallest of its
 band. After these links' components are known, only members outside the component of their band's
-centre are compared with the band's members, block by block on packed signatures, and only pairs
-of different components come out: a group of copies of any size costs one pair per member, and no
-link between different components is lost. Sets are compared by 64-bit shingle hashes.
+centre are compared with the band's members, block by block on packed signatures; each is given
+its best partners of other components, whose links are checked and joined. Rounds go on with more
+partners until every pair of different components was checked, so a group of copies of any size
+costs a few pairs per member, and no link between components is lost. Sets are compared by 64-bit
+shingle hashes.
 
 Cases: documents without words (or null text) have no shingle and no link; texts of one to four
 words link with equal sequences only; repeated rows are of one class; a null doc_id sorts before
@@ -42,7 +44,10 @@ HASHES, ROWS, BITS = 128, 4, 4
 BANDS = HASHES // ROWS
 #: Similarity of a link, in per cent, and the least estimate that is checked.
 LINK, LEAST = 75, 0.58
-BLOCK = 256
+BLOCK = 1024
+#: Partners a member is given in a block in the first round over open bands; later rounds give
+#: ``GROWTH`` times as many, until none is left out.
+FIRST, GROWTH = 1, 8
 _A = mix(np.arange(1, HASHES + 1, dtype=U)) | U(1)
 _B = mix(np.arange(HASHES + 1, 2 * HASHES + 1, dtype=U))
 
@@ -141,7 +146,7 @@ _DIFFERING_SQL = (
 def verify(pairs: DataFrame, packed: DataFrame) -> DataFrame:
     """The pairs (a, b) whose full sets are similar enough."""
     ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    texts = materialize(packed.join(ids, "doc_id").dropDuplicates(["doc_id"]), "texts")
+    texts = materialize(packed.join(ids.hint("merge"), "doc_id").dropDuplicates(["doc_id"]), "texts")
     both = pairs.join(texts.select(F.col("doc_id").alias("b"), F.col("packed").alias("pb")), "b").join(texts.select(F.col("doc_id").alias("a"), F.col("packed").alias("pa")), "a").select("a", "b", "pa", "pb")
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
@@ -170,15 +175,16 @@ def verify(pairs: DataFrame, packed: DataFrame) -> DataFrame:
     return both.mapInArrow(run, "a long, b long")
 
 
-def outside_pairs(members: DataFrame) -> DataFrame:
-    """(a, b): pairs of a band, of different components, one of them outside its centre's, whose
-    estimate reaches ``LEAST``. members: (key, rep, component, home, size, bits)."""
+def outside_pairs(members: DataFrame, most: int) -> DataFrame:
+    """(a, b, cut): for each member outside the component of its band's centre, its ``most`` best
+    partners of other components in each block of the band, among those whose estimate reaches
+    ``LEAST``; cut: it has more. members: (key, rep, component, home, size, bits)."""
     blocks = F.ceil(F.col("size") / BLOCK)
     salted = members.withColumn("salt", F.pmod(F.xxhash64("rep"), blocks))
     item = F.collect_list(F.struct("rep", "component", "bits"))  # about BLOCK rows, by the salt
     inside = salted.groupBy("key", "salt").agg(item.alias("inside"))
     outside = salted.where(F.col("component") != F.col("home")).groupBy("key", "salt").agg(item.alias("outside"))
-    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("cut", pa.bool_())])
 
     def columns(scalar):
         own = scalar.values
@@ -190,13 +196,20 @@ def outside_pairs(members: DataFrame) -> DataFrame:
             for i in range(batch.num_rows):
                 rep_a, comp_a, bits_a = columns(batch.column("outside")[i])
                 rep_b, comp_b, bits_b = columns(batch.column("inside")[i])
-                for s in range(0, len(rep_a), BLOCK):
-                    part = slice(s, s + BLOCK)
-                    near = estimate(differing(bits_a[part, None, :], bits_b[None, :, :])) >= LEAST
-                    x, y = np.nonzero(near & (comp_a[part, None] != comp_b[None, :]))
-                    yield batch_of(schema, np.minimum(rep_a[part][x], rep_b[y]), np.maximum(rep_a[part][x], rep_b[y]))
-
-    return outside.drop("salt").join(inside.drop("salt"), "key").select("outside", "inside").mapInArrow(run, "a long, b long").distinct()
+                for s in range(0, len(rep_a), 128):
+                    part = slice(s, s + 128)
+                    apart = differing(bits_a[part, None, :], bits_b[None, :, :])
+                    fit = (estimate(apart) >= LEAST) & (comp_a[part, None] != comp_b[None, :])
+                    more = fit.sum(axis=1) > most
+                    # the fewest differing values first, ties by place in the block
+                    order = np.where(fit, apart * len(rep_b) + np.arange(len(rep_b)), np.iinfo(np.int64).max)
+                    if len(rep_b) > most:
+                        fit &= order <= np.partition(order, most - 1, axis=1)[:, most - 1 : most]
+                    x, y = np.nonzero(fit)
+                    yield batch_of(schema, np.minimum(rep_a[part][x], rep_b[y]), np.maximum(rep_a[part][x], rep_b[y]), more[x])
+
+    pairs = outside.drop("salt").join(inside.drop("salt"), "key").select("outside", "inside").mapInArrow(run, "a long, b long, cut boolean")
+    return pairs.groupBy("a", "b").agg(F.max("cut").alias("cut"))
 
 
 def near_duplicates(documents: DataFrame) -> DataFrame:
@@ -218,18 +231,24 @@ def near_duplicates(documents: DataFrame) -> DataFrame:
     edges = materialize(verify(tested, packed), "links")
     parts = connected_components(edges)
 
-    # members outside the component of their band's centre
-    label = materialize(parts, "parts")
-    home = label.select(F.col("vertex").alias("centre"), F.col("component").alias("home"))
-    own = label.select(F.col("vertex").alias("rep"), "component")
-    placed = members.join(own, "rep", "left").join(home, "centre", "left").select("key", "rep", "size", F.coalesce("component", "rep").alias("component"), F.coalesce("home", "centre").alias("home"))
-    open_keys = placed.where(F.col("component") != F.col("home")).select("key").distinct()
-    rest = placed.join(open_keys, "key", "left_semi").join(bits, "rep")
-    more = outside_pairs(rest).join(tested, ["a", "b"], "left_anti")
-    more = materialize(more, "pairs")
-    if not more.isEmpty():
-        found = verify(more, packed)
-        label = materialize(connected_components(edges.unionByName(found)), "parts")
+    label, most = materialize(parts, "parts"), FIRST
+    while True:
+        # bands with members outside the component of their centre
+        home = label.select(F.col("vertex").alias("centre"), F.col("component").alias("home"))
+        own = label.select(F.col("vertex").alias("rep"), "component")
+        placed = members.join(own, "rep", "left").join(home, "centre", "left").select("key", "rep", "size", F.coalesce("component", "rep").alias("component"), F.coalesce("home", "centre").alias("home"))
+        open_keys = placed.where(F.col("component") != F.col("home")).select("key").distinct()
+        proposed = materialize(outside_pairs(placed.join(open_keys, "key", "left_semi").join(bits, "rep"), most), "pairs")
+        new = materialize(proposed.select("a", "b").join(tested, ["a", "b"], "left_anti"), "pairs")
+        untested = not new.isEmpty()
+        if untested:
+            found = materialize(verify(new, packed), "links")
+            tested, edges = tested.unionByName(new), edges.unionByName(found)
+            if not found.isEmpty():
+                label = materialize(connected_components(edges), "parts")
+        if not untested and proposed.where("cut").isEmpty():
+            break  # every pair of different components was tested
+        most *= GROWTH
 
     of_class = classes.select("h1", "h2", "n", "rep").join(label.withColumnRenamed("vertex", "rep"), "rep", "left").select("h1", "h2", "n", F.coalesce("component", "rep").alias("component"))
     out = described.select("doc_id", "n", "h1", "h2").join(of_class, ["h1", "h2", "n"], "left")
