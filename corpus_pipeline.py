@@ -1,11 +1,63 @@
-"""Corpus cleaning from documents to token ids; stages are added as their operators are built."""
+"""Corpus cleaning from documents to token ids, as five stages over whole tables.
 
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written as Parquet and read
+again as the next stage's docs. All but the last return the columns of ``documents``.
+
+1. toxicity: documents whose expected severity reaches 0.5 go.
+2. near duplicates: one document of each group stays, the one with the smallest doc_id.
+3. repeated byte strings of 200 bytes are cut out; the text left replaces the text, and n_chars is
+   counted anew.
+4. documents that contain a window of a benchmark item go.
+5. BPE: encoded and decoded digests of every document that is left.
+
+Rows whose doc_id is null can't be told apart and are dropped by stage 2; a document whose text is
+cut to nothing stays with an empty text. Extra columns are carried along by stages 1 to 4.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from gristmill.llm import bpe, decontam, minhash, suffix_dedup, toxicity
+from gristmill.llm.common import materialize, read_table
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return toxicity.clean(docs, toxicity.fit(docs, read_table(spark, sf_dir, "labels")))
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    gone = minhash.near_duplicates(docs).where(~F.col("kept")).select("doc_id").distinct()
+    return docs.where(F.col("doc_id").isNotNull()).join(gone.hint("merge"), "doc_id", "left_anti").select(*docs.columns)
+
+
+def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return suffix_dedup.rewrite(docs)
+
+
+def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return decontam.clean(docs, read_table(spark, sf_dir, "benchmark"))
+
+
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return bpe.round_trip(docs)
+
+
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("near_duplicates", drop_near_duplicates),
+    ("suffix_array_dedup", cut_repeats),
+    ("decontamination", drop_contaminated),
+    ("bpe", encode),
+]
+
+#: SQL expresses neither the classifier nor BPE; tests compare run() with a brute-force version.
 ORACLE_SQL = None
-STAGES = []
 
 
-def run(spark, sf_dir):
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    for name, stage in STAGES:
+        docs = materialize(stage(spark, docs, sf_dir), name)
     return docs

@@ -85,18 +85,25 @@ def scan(machine, names: list[str], text: bytes):
 def find_contamination(documents: DataFrame, benchmark: DataFrame, window: int = WINDOW, automaton_bytes: int = AUTOMATON_BYTES) -> DataFrame:
     """One row per document: doc_id, n_words, n_hit, items (sorted as strings), spans (word and byte
     ranges of the original text)."""
-    spark = documents.sparkSession
-    # bounded by the check below: items are gathered one automaton at a time
+    found = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    shared = _automata(benchmark, automaton_bytes)
+    for p, items in enumerate(shared):
+        last = p == len(shared) - 1
+        found = found.mapInArrow(_scanner(items, window, p == 0, last), DDL if last else DDL + ", text string")
+    return found
+
+
+def _automata(benchmark: DataFrame, automaton_bytes: int) -> list:
+    """Broadcast items, at most about ``automaton_bytes`` of text in each; at least one list."""
+    spark = benchmark.sparkSession
     benchmark = benchmark.where(F.col("text").isNotNull()).select(F.col("item_id").cast("string").alias("item_id"), "text")
     total = benchmark.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).head()[0]
     parts = max(1, -(-int(total) // automaton_bytes))
-    found = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    out = []
     for p in range(parts):
         own = benchmark if parts == 1 else benchmark.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(parts)) == p)
-        shared = spark.sparkContext.broadcast([(r[0], r[1]) for r in own.collect()])
-        last = p == parts - 1
-        found = found.mapInArrow(_scanner(shared, window, p == 0, last), DDL if last else DDL + ", text string")
-    return found
+        out.append(spark.sparkContext.broadcast([(r[0], r[1]) for r in own.collect()]))  # within the bound
+    return out
 
 
 def _scanner(shared, window: int, first: bool, last: bool):
@@ -137,6 +144,21 @@ def merge_ranges(ranges: list[list[int]]) -> list[list[int]]:
     return out
 
 
+def clean(documents: DataFrame, benchmark: DataFrame, window: int = WINDOW, automaton_bytes: int = AUTOMATON_BYTES) -> DataFrame:
+    """The rows of ``documents`` without any window of ``benchmark``, all columns kept; a filter,
+    without a join back."""
+    for shared in _automata(benchmark, automaton_bytes):
+
+        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            machine, names = build(shared.value, window), [k for k, _ in shared.value]
+            for b in batches:
+                block = block_of(b.column("text"))
+                yield b.filter(pa.array([not scan(machine, names, block.doc(i))[1] for i in range(len(block))], pa.bool_()))
+
+        documents = documents.mapInArrow(run, documents.schema)
+    return documents
+
+
 def digest(found: DataFrame) -> DataFrame:
     """The columns of the query contract."""
     return found.select(

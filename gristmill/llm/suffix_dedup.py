@@ -100,9 +100,17 @@ def _cut(hashed: bool):
 
 
 def rewrite(documents: DataFrame) -> DataFrame:
-    """``documents`` with the bytes left as text (a character cut apart is dropped with its bytes)
+    """``documents`` with the bytes left as text (what is left of a character cut apart goes too),
     and n_chars, where there is such a column, counted anew; other columns are kept."""
-    left = remove_repeats(documents).dropDuplicates(["doc_id"])
-    rest = documents.drop("text").join(left.select("doc_id", F.col("kept")), documents["doc_id"].eqNullSafe(left["doc_id"])).drop(left["doc_id"])
-    out = rest.withColumn("text", F.expr("try_validate_utf8(cast(kept as string))")).drop("kept")
+
+    def decoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        schema = pa.schema([("doc_id", pa.int64()), ("kept", pa.string())])
+        for b in batches:
+            yield batch_of(schema, b.column("doc_id"), [x.decode("utf-8", errors="ignore") for x in b.column("kept").to_pylist()])
+
+    left = remove_repeats(documents).mapInArrow(decoded, "doc_id long, kept string").dropDuplicates(["doc_id"]).withColumnRenamed("doc_id", "kept_id")
+    rest = documents.drop("text")
+    out = rest.join(left, rest["doc_id"].eqNullSafe(left["kept_id"])).withColumn("text", F.when(F.col("kept").isNotNull(), F.col("kept")))
+    if "n_chars" in documents.columns:
+        out = out.withColumn("n_chars", F.length("text").cast(documents.schema["n_chars"].dataType))
     return out.select(*documents.columns)
