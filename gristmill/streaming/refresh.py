@@ -38,4 +38,5 @@ def read_view(spark, mv: MVDef, folder: str) -> DataFrame:
 def windowed(events: DataFrame, width: str = "1 hour", late: str = "2 hours") -> DataFrame:
     """Counts and spend per window and type; rows later than ``late`` are left out."""
     money = F.sum(F.col("bid_price").cast("decimal(18,6)")).cast("double")
+    events = events.withColumn("ts", F.col("ts").cast("timestamp"))  # watermarks need a zoned time
     return events.withWatermark("ts", late).groupBy(F.window("ts", width), "type").agg(F.count(F.lit(1)).alias("events"), money.alias("spend")).select(F.col("window.start").alias("start"), "type", "events", "spend")
