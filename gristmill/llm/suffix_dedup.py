@@ -108,9 +108,9 @@ def rewrite(documents: DataFrame) -> DataFrame:
         for b in batches:
             yield batch_of(schema, b.column("doc_id"), [x.decode("utf-8", errors="ignore") for x in b.column("kept").to_pylist()])
 
-    left = remove_repeats(documents).mapInArrow(decoded, "doc_id long, kept string").dropDuplicates(["doc_id"]).withColumnRenamed("doc_id", "kept_id")
+    left = remove_repeats(documents).mapInArrow(decoded, "doc_id long, kept string").dropDuplicates(["doc_id"]).select(F.col("doc_id").alias("gristmill kept id"), F.col("kept").alias("gristmill kept text"))
     rest = documents.drop("text")
-    out = rest.join(left, rest["doc_id"].eqNullSafe(left["kept_id"])).withColumn("text", F.when(F.col("kept").isNotNull(), F.col("kept")))
+    out = rest.join(left, rest["doc_id"].eqNullSafe(left["gristmill kept id"])).withColumn("text", F.col("gristmill kept text"))
     if "n_chars" in documents.columns:
         out = out.withColumn("n_chars", F.length("text").cast(documents.schema["n_chars"].dataType))
     return out.select(*documents.columns)
