@@ -5,13 +5,29 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from pathlib import Path
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 
+_HELD: dict[tuple, object] = {}
+
+
+def hold(key: tuple, make: Callable[[], object]):
+    """A worker's one large object: kept for the next tasks of the same operator, dropped when a
+    task asks for another or calls ``release``. Python workers live on from stage to stage."""
+    if key not in _HELD:
+        _HELD.clear()
+        _HELD[key] = make()
+    return _HELD[key]
+
+
+def release() -> None:
+    _HELD.clear()
+
+
 def make_importable(spark: SparkSession) -> None:
     """Let Python workers import this package from where the driver has it. A cluster whose machines
     don't have that folder needs the package shipped (``--py-files``), as any PySpark library does."""
@@ -20,6 +36,10 @@ def make_importable(spark: SparkSession) -> None:
     held = env.get("PYTHONPATH", "")
     if root not in held.split(os.pathsep):
         env["PYTHONPATH"] = os.pathsep.join(x for x in (root, held) if x)
+    # texts vary in length, so batches are better bounded by bytes
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(key) in ("67108864b", "64m", "67108864"):
+        spark.conf.set(key, "12m")
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

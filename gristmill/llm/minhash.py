@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .anchors import NULL_ID, documents_of, pack
-from .common import batch_of, materialize
+from .common import batch_of, materialize, release
 from .components import connected_components
 from .textblocks import BLANKS, Block, U, block_of, byte_values, gather_runs, lower_ascii, mix, prefix_hash, row_slices_of, runs, span_hash
 
@@ -102,6 +102,7 @@ def describe(documents: DataFrame) -> DataFrame:
     """(doc_id, n, h1, h2, bands, bits): the size and hash of each set, its band keys and packed bits."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         for b in batches:
             block = block_of(b.column("text"))
             for a, z in row_slices_of(block, 1 << 20):
@@ -178,28 +179,42 @@ def verify(pairs: DataFrame, packed: DataFrame) -> DataFrame:
 def outside_pairs(members: DataFrame, most: int) -> DataFrame:
     """(a, b, cut): for each member outside the component of its band's centre, its ``most`` best
     partners of other components in each block of the band, among those whose estimate reaches
-    ``LEAST``; cut: it has more. members: (key, rep, component, home, size, bits)."""
+    ``LEAST`` and whose set sizes allow a link; cut: it has more. A pair is left to the first band
+    whose keys it shares (keys are compared by half their bits, that is 32).
+    members: (key, band, rep, component, home, size, bits, n, short)."""
     blocks = F.ceil(F.col("size") / BLOCK)
     salted = members.withColumn("salt", F.pmod(F.xxhash64("rep"), blocks))
-    item = F.collect_list(F.struct("rep", "component", "bits"))  # about BLOCK rows, by the salt
+    item = F.collect_list(F.struct("rep", "component", "n", "bits", "short"))  # about BLOCK rows, by the salt
     inside = salted.groupBy("key", "salt").agg(item.alias("inside"))
-    outside = salted.where(F.col("component") != F.col("home")).groupBy("key", "salt").agg(item.alias("outside"))
+    outside = salted.where(F.col("component") != F.col("home")).groupBy("key", "band", "salt").agg(item.alias("outside"))
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("cut", pa.bool_())])
 
     def columns(scalar):
         own = scalar.values
-        bits = own.field(2)
-        return own.field(0).to_numpy(), own.field(1).to_numpy(), bits.values.to_numpy().view(U)[bits.offsets[0].as_py() : bits.offsets[-1].as_py()].reshape(len(own), -1)
+
+        def grid(k: int, kind) -> np.ndarray:
+            lists = own.field(k)
+            return lists.values.to_numpy()[lists.offsets[0].as_py() : lists.offsets[-1].as_py()].view(kind).reshape(len(own), -1)
+
+        return own.field(0).to_numpy(), own.field(1).to_numpy(), own.field(2).to_numpy().astype(np.int64), grid(3, U), grid(4, np.int32)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         for batch in batches:
             for i in range(batch.num_rows):
-                rep_a, comp_a, bits_a = columns(batch.column("outside")[i])
-                rep_b, comp_b, bits_b = columns(batch.column("inside")[i])
+                band = batch.column("band")[i].as_py()
+                rep_a, comp_a, n_a, bits_a, short_a = columns(batch.column("outside")[i])
+                rep_b, comp_b, n_b, bits_b, short_b = columns(batch.column("inside")[i])
                 for s in range(0, len(rep_a), 128):
                     part = slice(s, s + 128)
                     apart = differing(bits_a[part, None, :], bits_b[None, :, :])
-                    fit = (estimate(apart) >= LEAST) & (comp_a[part, None] != comp_b[None, :])
+                    low, high = np.minimum(n_a[part, None], n_b[None, :]), np.maximum(n_a[part, None], n_b[None, :])
+                    fit = (estimate(apart) >= LEAST) & (comp_a[part, None] != comp_b[None, :]) & (100 * low >= LINK * high)
+                    x, y = np.nonzero(fit)
+                    for at in range(0, len(x), 1 << 16):
+                        u, v = x[at : at + (1 << 16)], y[at : at + (1 << 16)]
+                        before = (short_a[part][u, :band] == short_b[v, :band]).any(axis=1)
+                        fit[u[before], v[before]] = False
                     more = fit.sum(axis=1) > most
                     # the fewest differing values first, ties by place in the block
                     order = np.where(fit, apart * len(rep_b) + np.arange(len(rep_b)), np.iinfo(np.int64).max)
@@ -208,7 +223,7 @@ def outside_pairs(members: DataFrame, most: int) -> DataFrame:
                     x, y = np.nonzero(fit)
                     yield batch_of(schema, np.minimum(rep_a[part][x], rep_b[y]), np.maximum(rep_a[part][x], rep_b[y]), more[x])
 
-    pairs = outside.drop("salt").join(inside.drop("salt"), "key").select("outside", "inside").mapInArrow(run, "a long, b long, cut boolean")
+    pairs = outside.drop("salt").join(inside.drop("salt"), "key").select("band", "outside", "inside").mapInArrow(run, "a long, b long, cut boolean")
     return pairs.groupBy("a", "b").agg(F.max("cut").alias("cut"))
 
 
@@ -218,15 +233,16 @@ def near_duplicates(documents: DataFrame) -> DataFrame:
     described = materialize(describe(docs), "sets")
     # one row per class: equal sets have equal keys and bits
     classes = materialize(described.where("n > 0").groupBy("h1", "h2", "n").agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands"), F.first("bits").alias("bits")), "classes")
-    keys = classes.select("rep", F.explode("bands").alias("key"))
+    keys = classes.select("rep", F.posexplode("bands").alias("band", "key"))
     centres = keys.groupBy("key").agg(F.min("rep").alias("centre"), F.count(F.lit(1)).alias("size")).where("size > 1")
     members = materialize(keys.join(centres, "key"), "members")
-    bits = classes.select("rep", "bits")
+    bits = classes.select("rep", "bits", "n", F.transform("bands", lambda k: F.shiftright(k, 32).cast("int")).alias("short"))
     packed = pack(docs)
 
     stars = members.where(F.col("rep") != F.col("centre")).select(F.col("centre").alias("a"), F.col("rep").alias("b")).distinct()
-    stars = stars.join(bits.select(F.col("rep").alias("b"), F.col("bits").alias("xb")), "b").join(bits.select(F.col("rep").alias("a"), F.col("bits").alias("xa")), "a")
+    stars = stars.join(bits.select(F.col("rep").alias("b"), F.col("bits").alias("xb"), F.col("n").alias("nb")), "b").join(bits.select(F.col("rep").alias("a"), F.col("bits").alias("xa"), F.col("n").alias("na")), "a")
     most = int(HASHES * (1 - (LEAST * (1 - 1 / (1 << BITS)) + 1 / (1 << BITS))))
+    stars = stars.where(F.least("na", "nb") * 100 >= F.greatest("na", "nb") * LINK)  # a link needs sizes that close
     tested = materialize(stars.where(F.expr(_DIFFERING_SQL) <= most).select("a", "b"), "pairs")
     edges = materialize(verify(tested, packed), "links")
     parts = connected_components(edges)
@@ -236,7 +252,7 @@ def near_duplicates(documents: DataFrame) -> DataFrame:
         # bands with members outside the component of their centre
         home = label.select(F.col("vertex").alias("centre"), F.col("component").alias("home"))
         own = label.select(F.col("vertex").alias("rep"), "component")
-        placed = members.join(own, "rep", "left").join(home, "centre", "left").select("key", "rep", "size", F.coalesce("component", "rep").alias("component"), F.coalesce("home", "centre").alias("home"))
+        placed = members.join(own, "rep", "left").join(home, "centre", "left").select("key", "band", "rep", "size", F.coalesce("component", "rep").alias("component"), F.coalesce("home", "centre").alias("home"))
         open_keys = placed.where(F.col("component") != F.col("home")).select("key").distinct()
         proposed = materialize(outside_pairs(placed.join(open_keys, "key", "left_semi").join(bits, "rep"), most), "pairs")
         new = materialize(proposed.select("a", "b").join(tested, ["a", "b"], "left_anti"), "pairs")
