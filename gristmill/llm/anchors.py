@@ -31,7 +31,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batch_of, materialize, shuffle_partitions
+from .common import batch_of, materialize, release, shuffle_partitions
 from .textblocks import Block, U, block_of, mix, prefix_hash, row_slices_of, sliding_min, span_hash
 
 #: Kinds of rows after ``decide``: all windows of the segment count; compare by content.
@@ -94,6 +94,7 @@ def scan(documents: DataFrame, w: Windows) -> DataFrame:
     """Segments of all documents, copies of a batch combined (see ``decide`` for ``many``)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         for b in batches:
             block, ids = block_of(b.column("text")), b.column("doc_id").to_numpy(zero_copy_only=False)
             held = []
@@ -209,6 +210,7 @@ def pack(documents: DataFrame) -> DataFrame:
     """(doc_id, packed): texts as compressed bytes, so that joins on doc_id move less."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         squeeze = zstandard.ZstdCompressor(level=1)
         for b in batches:
             block = block_of(b.column("text"))

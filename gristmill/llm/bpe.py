@@ -16,7 +16,6 @@ import hashlib
 import heapq
 import json
 from collections.abc import Iterator
-from functools import lru_cache
 from itertools import chain
 
 import numpy as np
@@ -25,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batch_of
+from .common import batch_of, hold
 from .pretokens import PieceEncoder
 from .textblocks import block_of
 
@@ -42,7 +41,7 @@ def byte_symbols() -> list[str]:
 
 
 class ForcedBoundaryBPE:
-    def __init__(self, path: str, cache: int = 300_000):
+    def __init__(self, path: str, cache: int = 200_000):
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         vocab, merges = spec["model"]["vocab"], spec["model"]["merges"]
@@ -138,9 +137,12 @@ class ForcedBoundaryBPE:
         return b" ".join([strings[i] for i in ids])
 
 
-@lru_cache(maxsize=2)
 def encoder(path: str) -> tuple[ForcedBoundaryBPE, PieceEncoder]:
-    """One per worker process and vocabulary."""
+    """One per worker process."""
+    return hold(("bpe", path), lambda: _encoder(path))
+
+
+def _encoder(path: str) -> tuple[ForcedBoundaryBPE, PieceEncoder]:
     from tokenizers import Tokenizer
 
     bpe, library = ForcedBoundaryBPE(path), None

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batch_of
+from .common import batch_of, release
 from .textblocks import block_of, runs, table_of
 
 WINDOW = 10
@@ -110,6 +110,7 @@ def _scanner(shared, window: int, first: bool, last: bool):
     """One scan; a later scan adds to what the earlier ones found."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         machine, names = build(shared.value, window), [k for k, _ in shared.value]
         for b in batches:
             block = block_of(b.column("text"))
@@ -150,6 +151,7 @@ def clean(documents: DataFrame, benchmark: DataFrame, window: int = WINDOW, auto
     for shared in _automata(benchmark, automaton_bytes):
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            release()
             machine, names = build(shared.value, window), [k for k, _ in shared.value]
             for b in batches:
                 block = block_of(b.column("text"))

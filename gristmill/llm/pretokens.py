@@ -100,7 +100,7 @@ class PieceEncoder:
     encode: sizes and ids, one piece after the other, of some distinct pieces; whole: ids of one document by the reference library.
     """
 
-    def __init__(self, encode: Callable[[list[str]], tuple[np.ndarray, np.ndarray]], whole: Callable[[str], list[int]], keep_space: bool, lower: bool, most: int = 500_000):
+    def __init__(self, encode: Callable[[list[str]], tuple[np.ndarray, np.ndarray]], whole: Callable[[str], list[int]], keep_space: bool, lower: bool, most: int = 300_000):
         self.encode, self.whole, self.keep_space, self.lower, self.most = encode, whole, keep_space, lower, most
         self._forget()
 

@@ -23,7 +23,6 @@ import mmap
 import os
 import zlib
 from collections.abc import Iterator
-from functools import lru_cache
 from urllib.parse import unquote, urlparse
 
 import numpy as np
@@ -33,7 +32,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import batch_of, shuffle_partitions, work_path
+from .common import batch_of, hold, shuffle_partitions, work_path
 from .pretokens import PieceEncoder
 from .textblocks import block_of
 
@@ -42,8 +41,12 @@ END_ID = 0
 NULL_ID = -(1 << 63)
 
 
-@lru_cache(maxsize=2)
 def encoder(path: str) -> PieceEncoder:
+    """One per worker process."""
+    return hold(("tokens", path), lambda: _encoder(path))
+
+
+def _encoder(path: str) -> PieceEncoder:
     from tokenizers import Tokenizer
 
     os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batch_of
+from .common import batch_of, release
 from .textblocks import Block, block_of, byte_values, lower_ascii, prefix_hash, row_slices_of, runs, span_hash, table_of
 
 MAX_ROWS = 12_000
@@ -194,6 +194,7 @@ def score(documents: DataFrame, model: OrdinalModel, cut: float = 0.5) -> DataFr
     schema = pa.schema([("doc_id", pa.int64()), ("severity", pa.float64()), ("grade", pa.int32()), ("toxic", pa.bool_())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         for b in batches:
             block = block_of(b.column("text"))
             for a, z in row_slices_of(block, 1 << 20):
@@ -209,6 +210,7 @@ def clean(documents: DataFrame, model: OrdinalModel, cut: float = 0.5) -> DataFr
     shared = documents.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         for b in batches:
             block = block_of(b.column("text"))
             for a, z in row_slices_of(block, 1 << 20):
