@@ -45,6 +45,7 @@ class ViewStore:
         self._hadoop = spark._jvm.org.apache.hadoop.fs
         self._fs = self._path("").getFileSystem(spark._jsc.hadoopConfiguration())
         self.states: dict[str, ViewState] = {}
+        self._frames: dict[str, DataFrame] = {}
         self.load()
 
     def _path(self, name: str):
@@ -81,7 +82,11 @@ class ViewStore:
         return {k: s.rows for k, s in self.states.items() if s.status == READY}
 
     def read(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(self.state(name).path)
+        """The view's frame; files are listed once for each build."""
+        path = self.state(name).path
+        if path not in self._frames:
+            self._frames[path] = self.spark.read.parquet(path)
+        return self._frames[path]
 
     def build(self, mv: MVDef, base: DataFrame) -> ViewState:
         """Write, count from the footers, promote; a failure leaves the old view in place."""
@@ -92,9 +97,11 @@ class ViewStore:
             schema = frame.schema.json()
             if before.schema and before.schema != schema:
                 raise SchemaDrift(f"{mv.name}: columns differ from the registered ones")
-            if mv.partition:  # all rows of a partition in one task: one file a folder
-                frame = frame.repartition(*mv.partition).sortWithinPartitions(*mv.partition, *(d for d in mv.dims if d not in mv.partition))
-            frame.write.option("compression", "zstd").partitionBy(*mv.partition).parquet(f"{self.folder}/{staging}")
+            # few files of a good size, each with a range of dimension values of its own: a filter on the
+            # leading dimension skips row groups, and a small view is one small file
+            if mv.partition:
+                frame = frame.hint("rebalance", *mv.partition)
+            frame.sortWithinPartitions(*mv.partition, *(d for d in mv.dims if d not in mv.partition)).write.option("compression", "zstd").parquet(f"{self.folder}/{staging}")
             rows = self.spark.read.parquet(f"{self.folder}/{staging}").count()
             self._fs.mkdirs(self._path(mv.name))
             if not self._fs.rename(self._path(staging), self._path(final)):

@@ -42,7 +42,7 @@ class MVDef:
     dims: tuple[str, ...]
     measures: tuple[Stored, ...]
     only: str | None = None  # event type all rows have
-    partition: tuple[str, ...] = ()
+    partition: tuple[str, ...] = ()  # leading dimensions of its files
     keyed: bool = False  # rows with a null dimension are left out
 
     def frame(self, base: DataFrame) -> DataFrame:
