@@ -9,7 +9,8 @@ word numbers by the blanks before them, and word numbers to byte offsets of the
 Cases: null or empty texts and texts without words give 0 words and no hit; null items and items
 without words never match; equal items are all reported; an empty benchmark leaves all documents
 clean; other columns are ignored. The patterns are broadcast: items are split into automata of at
-most ``automaton_bytes`` of text, and more than one automaton means more than one scan.
+most ``automaton_bytes`` of text, and more than one automaton means more than one scan, each over a
+written table, so that memory stays that of one automaton.
 """
 
 from __future__ import annotations
@@ -22,11 +23,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batch_of, release
+from .common import batch_of, materialize, release
 from .textblocks import block_of, runs, table_of
 
 WINDOW = 10
-AUTOMATON_BYTES = 32 << 20
+#: Text of one automaton. Each word begins a pattern of its own, so memory is some hundred times this.
+AUTOMATON_BYTES = 256 << 10
 _WORD = bytes([*range(48, 58), *range(97, 123), *range(128, 256)])
 _NORMAL = bytes(c + 32 if 65 <= c <= 90 else c if c in _WORD else 32 for c in range(256))
 _NOT_WORD = ~table_of(_WORD + bytes(range(65, 91)))
@@ -90,6 +92,8 @@ def find_contamination(documents: DataFrame, benchmark: DataFrame, window: int =
     for p, items in enumerate(shared):
         last = p == len(shared) - 1
         found = found.mapInArrow(_scanner(items, window, p == 0, last), DDL if last else DDL + ", text string")
+        if not last:  # scans in one chain would hold all automata at a time
+            found = materialize(found, "scan")
     return found
 
 
@@ -148,7 +152,8 @@ def merge_ranges(ranges: list[list[int]]) -> list[list[int]]:
 def clean(documents: DataFrame, benchmark: DataFrame, window: int = WINDOW, automaton_bytes: int = AUTOMATON_BYTES) -> DataFrame:
     """The rows of ``documents`` without any window of ``benchmark``, all columns kept; a filter,
     without a join back."""
-    for shared in _automata(benchmark, automaton_bytes):
+    automata = _automata(benchmark, automaton_bytes)
+    for shared in automata:
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             release()
@@ -158,6 +163,8 @@ def clean(documents: DataFrame, benchmark: DataFrame, window: int = WINDOW, auto
                 yield b.filter(pa.array([not scan(machine, names, block.doc(i))[1] for i in range(len(block))], pa.bool_()))
 
         documents = documents.mapInArrow(run, documents.schema)
+        if shared is not automata[-1]:
+            documents = materialize(documents, "scan")
     return documents
 
 
