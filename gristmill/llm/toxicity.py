@@ -172,6 +172,8 @@ def fit(documents: DataFrame, labels: DataFrame, label: str = "toxic", max_rows:
     number[keep] = np.arange(len(keep))
     use = number[doc] >= 0
     doc, key, toxic = number[doc[use]], key[use], toxic[keep]
+    del found, lists, use, number
+    pa.default_memory_pool().release_unused()
     grade = severity_grades(doc, key, toxic) if set(np.unique(toxic)) <= {0, 1} else np.maximum(toxic, 0).astype(np.int64)
     return fit_rows(doc, key, grade)
 
