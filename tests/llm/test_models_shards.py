@@ -39,6 +39,19 @@ def test_toxicity_on_held_out_rows(spark):
     assert kept.columns == frame.columns and kept.count() == sum(not r.toxic for r in found)
 
 
+def test_toxicity_from_few_labels(spark):
+    docs, labels = toxic_rows(60, 3)
+    frame = spark.createDataFrame(docs, "doc_id long, text string")
+    said = {r.doc_id: r.toxic for r in toxicity.score(frame, toxicity.fit(frame, spark.createDataFrame(labels, "doc_id long, toxic int"))).collect()}
+    assert sum(y for _, y in labels) < 20 and all(said[k] == bool(y) for k, y in labels)
+
+
+def test_toxicity_of_a_small_given_table(spark, sf_dir):
+    docs, labels = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "labels"))
+    found = toxicity.score(docs, toxicity.fit(docs, labels)).select("doc_id", F.col("toxic").alias("said")).join(labels, "doc_id").collect()
+    assert sum(r.said for r in found if r.toxic) >= 10 and not any(r.said for r in found if not r.toxic)
+
+
 def test_toxicity_without_examples(spark):
     docs = spark.createDataFrame([(1, "a"), (2, None)], "doc_id long, text string")
     none = toxicity.fit(docs, spark.createDataFrame([(1, None)], "doc_id long, toxic int"))
