@@ -240,7 +240,10 @@ def fetch(packed: DataFrame, found: DataFrame, w: Windows) -> DataFrame:
         expand = zstandard.ZstdDecompressor()
         for b in batches:
             shard, doc, start, piece = [], [], [], []
+            keys = b.column("doc_id")
             for i in range(b.num_rows):
+                if i and keys[i] == keys[i - 1] and b.column("packed")[i] == b.column("packed")[i - 1]:
+                    continue  # a repeated row
                 block = Block(data := np.frombuffer(expand.decompress(b.column("packed")[i].as_py()), np.uint8), np.array([0, len(data)]))
                 symbols, before = w.symbols(block)[0], len(piece)
                 own = b.column("wanted")[i].values
@@ -276,11 +279,25 @@ def cells(symbols: np.ndarray, start: int, windows: int, w: Windows) -> Iterator
 
 def by_shards(pieces: DataFrame, partitions: int, compare: Callable[..., tuple[np.ndarray, np.ndarray]], most: int = 1 << 20) -> DataFrame:
     """Apply ``compare(shard, doc, start, pieces)`` to whole shards, about ``most`` bytes at a time;
-    it gives (piece number, window within the piece) of the windows that count."""
+    it gives (piece number, window within the piece) of the windows that count. Pieces of a repeated
+    row (same place and content) are compared once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
         size = 0
+        last: tuple = ()
+
+        def once(part: pa.RecordBatch) -> pa.RecordBatch:
+            nonlocal last
+            shard, doc, start = (part.column(k).to_numpy() for k in ("shard", "doc_id", "start"))
+            same = np.zeros(len(shard), bool)
+            same[1:] = (shard[1:] == shard[:-1]) & (doc[1:] == doc[:-1]) & (start[1:] == start[:-1])
+            same[0] = (shard[0], doc[0], start[0]) == last[:3]
+            piece = part.column("piece")
+            for i in np.flatnonzero(same).tolist():
+                same[i] = piece[i].as_py() == (piece[i - 1].as_py() if i else last[3])
+            last = (shard[-1], doc[-1], start[-1], piece[len(shard) - 1].as_py())
+            return part.filter(pa.array(~same)) if same.any() else part
 
         def flush(table: pa.Table) -> pa.RecordBatch:
             doc, start = (table.column(k).to_numpy() for k in ("doc_id", "start"))
@@ -293,7 +310,7 @@ def by_shards(pieces: DataFrame, partitions: int, compare: Callable[..., tuple[n
 
         for b in batches:
             for a in range(0, b.num_rows, 512):
-                part = b.slice(a, 512)
+                part = once(b.slice(a, 512))
                 held.append(part)
                 size += part.column("piece").nbytes
                 if size > most:
@@ -307,7 +324,7 @@ def by_shards(pieces: DataFrame, partitions: int, compare: Callable[..., tuple[n
         if held:
             yield flush(pa.Table.from_batches(held))
 
-    return pieces.repartition(partitions, "shard").sortWithinPartitions("shard").mapInArrow(run, SPAN_DDL)
+    return pieces.repartition(partitions, "shard").sortWithinPartitions("shard", "doc_id", "start", "piece").mapInArrow(run, SPAN_DDL)
 
 
 def spans_by_document(found: DataFrame, compared: DataFrame) -> DataFrame:

@@ -46,6 +46,22 @@ def test_suffixes(spark, rows, monkeypatch, hot):
         assert (r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) == want[r.doc_id], r.doc_id
 
 
+@pytest.mark.parametrize("hot", [2000, 3])
+def test_repeated_rows_count_once(spark, monkeypatch, hot):
+    monkeypatch.setattr(anchors, "HOT_CLASSES", hot)
+    rnd = random.Random(8)
+    fresh = lambda n: " ".join(f"{rnd.choice('abcdef')}{rnd.randint(0, 10**6)}" for _ in range(n))
+    passage = fresh(60)
+    rows = [(i, f"{fresh(20)} {passage} {fresh(90)}") for i in range(12)]
+    rows += rows[:8] * 2
+    want = brute.substring(rows)
+    for r in substring_dedup.remove_repeats(frame(spark, rows), digest=True).collect():
+        assert tuple(r)[1:] == want[r.doc_id], r.doc_id
+    want = brute.suffix(rows)
+    for r in suffix_dedup.remove_repeats(frame(spark, rows)).collect():
+        assert (r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) == want[r.doc_id], r.doc_id
+
+
 def test_rewritten_texts_keep_columns(spark, rows):
     docs = frame(spark, rows).selectExpr("doc_id", "kept", "text", "cast(length(text) as long) as n_chars")
     out = suffix_dedup.rewrite(docs)
