@@ -4,20 +4,20 @@ Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written
 again as the next stage's docs. All but the last return the columns of ``documents``.
 
 1. toxicity: documents whose expected severity reaches 0.5 go.
-2. near duplicates: one document of each group stays, the one with the smallest doc_id.
+2. near duplicates: one document of each group stays, the one with the smallest doc_id (null first).
 3. repeated byte strings of 200 bytes are cut out; the text left replaces the text, and n_chars is
    counted anew.
 4. documents that contain a window of a benchmark item go.
 5. BPE: encoded and decoded digests of every document that is left.
 
-Rows whose doc_id is null can't be told apart and are dropped by stage 2; a document whose text is
-cut to nothing stays with an empty text. Extra columns are carried along by stages 1 to 4.
+Rows whose doc_id is null are told apart by their texts; they are cleaned like others, and stage 2
+keeps one of equal ones. A row repeated as it is stays once. A document whose text is cut to nothing
+stays with an empty text. Extra columns are carried along by stages 1 to 4.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from gristmill.llm import bpe, decontam, minhash, suffix_dedup, toxicity
 from gristmill.llm.common import materialize, read_table
@@ -28,8 +28,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    gone = minhash.near_duplicates(docs).where(~F.col("kept")).select("doc_id").distinct()
-    return docs.where(F.col("doc_id").isNotNull()).join(gone.hint("merge"), "doc_id", "left_anti").select(*docs.columns)
+    return minhash.clean(docs)
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -28,7 +28,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import batch_of, materialize, release, shuffle_partitions
@@ -39,7 +39,8 @@ REPEATED, COMPARE = 0, 1
 #: Windows of an anchor with more classes than this shard by their own content.
 HOT_CLASSES = 2000
 SLICE = 1 << 20
-NULL_ID = -(1 << 63)
+#: Keys of rows without a doc_id: the lowest quarter of all longs, by a hash of the text.
+NULL_ID, NULL_KEYS = -(1 << 63), 1 << 62
 
 ROW = pa.schema([("anchor", pa.int64()), ("content", pa.int64()), ("doc_id", pa.int64()), ("start", pa.int32()), ("windows", pa.int32()), ("many", pa.int8())])
 ROW_DDL = "anchor long, content long, doc_id long, start int, windows int, many byte"
@@ -207,19 +208,19 @@ class _Stream:
 
 
 def pack(documents: DataFrame) -> DataFrame:
-    """(doc_id, packed): texts as compressed bytes, so that joins on doc_id move less."""
+    """(doc_id, missing, packed): texts as compressed bytes, so that joins on doc_id move less."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         release()
         squeeze = zstandard.ZstdCompressor(level=1)
         for b in batches:
             block = block_of(b.column("text"))
-            yield batch_of(PACKED, b.column("doc_id"), [squeeze.compress(block.doc(i)) for i in range(len(block))])
+            yield batch_of(PACKED, b.column("doc_id"), b.column("missing"), [squeeze.compress(block.doc(i)) for i in range(len(block))])
 
-    return documents.mapInArrow(run, "doc_id long, packed binary")
+    return documents.mapInArrow(run, "doc_id long, missing boolean, packed binary")
 
 
-PACKED = pa.schema([("doc_id", pa.int64()), ("packed", pa.binary())])
+PACKED = pa.schema([("doc_id", pa.int64()), ("missing", pa.bool_()), ("packed", pa.binary())])
 PIECE = pa.schema([("shard", pa.int64()), ("doc_id", pa.int64()), ("start", pa.int32()), ("piece", pa.binary())])
 SPAN_DDL = "doc_id long, start int, windows int"
 SPAN = pa.schema([("doc_id", pa.int64()), ("start", pa.int32()), ("windows", pa.int32())])
@@ -259,7 +260,7 @@ def fetch(packed: DataFrame, found: DataFrame, w: Windows) -> DataFrame:
             if piece:
                 yield batch_of(PIECE, shard, doc, start, piece)
 
-    return packed.join(wanted, "doc_id").mapInArrow(run, "shard long, doc_id long, start int, piece binary")
+    return packed.drop("missing").join(wanted, "doc_id").mapInArrow(run, "shard long, doc_id long, start int, piece binary")
 
 
 def cells(symbols: np.ndarray, start: int, windows: int, w: Windows) -> Iterator[tuple[int, int, int]]:
@@ -333,17 +334,29 @@ def spans_by_document(found: DataFrame, compared: DataFrame) -> DataFrame:
     return whole.unionByName(compared).groupBy("doc_id").agg(F.collect_list(F.struct("start", "windows")).alias("spans"))
 
 
+def row_key() -> Column:
+    """doc_id, or a key of its own for each text whose doc_id is null. These keys sort before other
+    doc_ids; only doc_ids below -2**62 may sort among them."""
+    own = F.xxhash64("text").bitwiseAND(F.lit(NULL_KEYS - 1)) + F.lit(NULL_ID)
+    return F.coalesce(F.col("doc_id").cast("long"), own)
+
+
 def documents_of(documents: DataFrame) -> DataFrame:
-    """(doc_id, text) with a stand-in for null doc_ids."""
-    return documents.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("doc_id"), "text")
+    """(doc_id, text, missing): with ``row_key`` as doc_id; missing: the doc_id is null."""
+    return documents.select(row_key().alias("doc_id"), "text", F.col("doc_id").isNull().alias("missing"))
+
+
+def ids_of(batch: pa.RecordBatch) -> pa.Array:
+    """The batch's doc_ids, null again where they are missing."""
+    return pa.array(batch.column("doc_id").to_numpy(), mask=batch.column("missing").to_numpy(zero_copy_only=False))
 
 
 def find(documents: DataFrame, w: Windows, compare: Callable, name: str, most: int = 1 << 20) -> DataFrame:
-    """(doc_id, packed, spans) of every document: its text and the ranges of windows that count."""
+    """(doc_id, missing, packed, spans) of every document: its text and the ranges of windows that count."""
     spark = documents.sparkSession
     partitions = shuffle_partitions(spark)
     docs = documents_of(documents)
-    found = materialize(decide(scan(docs, w), w, partitions), name)
+    found = materialize(decide(scan(docs.drop("missing"), w), w, partitions), name)
     packed = pack(docs)
     compared = by_shards(fetch(packed, found, w), partitions, compare, most)
     return packed.join(spans_by_document(found, compared), "doc_id", "left")

@@ -20,8 +20,9 @@ costs a few pairs per member, and no link between components is lost. Sets are c
 shingle hashes.
 
 Cases: documents without words (or null text) have no shingle and no link; texts of one to four
-words link with equal sequences only; repeated rows are of one class; a null doc_id sorts before
-all others and reads back as null; extra columns are ignored.
+words link with equal sequences only; repeated rows are of one class; rows with a null doc_id
+are documents of their own, told apart by a hash of the text, sort before others (doc_ids below
+-2**62 may be among them) and read back as null, also as a component_id; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -34,7 +35,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .anchors import NULL_ID, documents_of, pack
+from .anchors import documents_of, pack, row_key
 from .common import batch_of, materialize, release
 from .components import connected_components
 from .textblocks import BLANKS, Block, U, block_of, byte_values, gather_runs, lower_ascii, mix, prefix_hash, row_slices_of, runs, span_hash
@@ -70,8 +71,8 @@ def shingle_sets(block: Block) -> tuple[np.ndarray, np.ndarray]:
     return found[keep], np.bincount(doc[keep], minlength=len(words))
 
 
-SET_DDL = "doc_id long, n int, h1 long, h2 long, bands array<long>, bits array<long>"
-SETS = pa.schema([("doc_id", pa.int64()), ("n", pa.int32()), ("h1", pa.int64()), ("h2", pa.int64()), ("bands", pa.list_(pa.int64())), ("bits", pa.list_(pa.int64()))])
+SET_DDL = "doc_id long, missing boolean, n int, h1 long, h2 long, bands array<long>, bits array<long>"
+SETS = pa.schema([("doc_id", pa.int64()), ("missing", pa.bool_()), ("n", pa.int32()), ("h1", pa.int64()), ("h2", pa.int64()), ("bands", pa.list_(pa.int64())), ("bits", pa.list_(pa.int64()))])
 
 
 def signatures(sets: np.ndarray, count: np.ndarray):
@@ -99,7 +100,7 @@ def signatures(sets: np.ndarray, count: np.ndarray):
 
 
 def describe(documents: DataFrame) -> DataFrame:
-    """(doc_id, n, h1, h2, bands, bits): the size and hash of each set, its band keys and packed bits."""
+    """(doc_id, missing, n, h1, h2, bands, bits): the size and hash of each set, its band keys and packed bits."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         release()
@@ -115,7 +116,7 @@ def describe(documents: DataFrame) -> DataFrame:
                 for x in (bands, bits):
                     cuts = np.concatenate([[0], np.cumsum(np.where(some, x.shape[1], 0))])
                     lists.append(pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pa.array(np.ascontiguousarray(x).view(np.int64).ravel())))
-                yield batch_of(SETS, b.column("doc_id").slice(a, z - a), count.astype(np.int32), full[0], full[1], *lists)
+                yield batch_of(SETS, b.column("doc_id").slice(a, z - a), b.column("missing").slice(a, z - a), count.astype(np.int32), full[0], full[1], *lists)
 
     return documents.mapInArrow(run, SET_DDL)
 
@@ -227,8 +228,9 @@ def outside_pairs(members: DataFrame, most: int) -> DataFrame:
     return pairs.groupBy("a", "b").agg(F.max("cut").alias("cut"))
 
 
-def near_duplicates(documents: DataFrame) -> DataFrame:
-    """(doc_id, n_shingles, component_id, kept): one row per row of ``documents``."""
+def components_of(documents: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, missing, n, component) of each row, with ``row_key`` as doc_id, and the component
+    keys that stand for a null doc_id."""
     docs = documents_of(documents)
     described = materialize(describe(docs), "sets")
     # one row per class: equal sets have equal keys and bits
@@ -237,7 +239,7 @@ def near_duplicates(documents: DataFrame) -> DataFrame:
     centres = keys.groupBy("key").agg(F.min("rep").alias("centre"), F.count(F.lit(1)).alias("size")).where("size > 1")
     members = materialize(keys.join(centres, "key"), "members")
     bits = classes.select("rep", "bits", "n", F.transform("bands", lambda k: F.shiftright(k, 32).cast("int")).alias("short"))
-    packed = pack(docs)
+    packed = pack(docs).drop("missing")
 
     stars = members.where(F.col("rep") != F.col("centre")).select(F.col("centre").alias("a"), F.col("rep").alias("b")).distinct()
     stars = stars.join(bits.select(F.col("rep").alias("b"), F.col("bits").alias("xb"), F.col("n").alias("nb")), "b").join(bits.select(F.col("rep").alias("a"), F.col("bits").alias("xa"), F.col("n").alias("na")), "a")
@@ -267,7 +269,23 @@ def near_duplicates(documents: DataFrame) -> DataFrame:
         most *= GROWTH
 
     of_class = classes.select("h1", "h2", "n", "rep").join(label.withColumnRenamed("vertex", "rep"), "rep", "left").select("h1", "h2", "n", F.coalesce("component", "rep").alias("component"))
-    out = described.select("doc_id", "n", "h1", "h2").join(of_class, ["h1", "h2", "n"], "left")
-    component = F.coalesce("component", "doc_id")
-    null_if = lambda c: F.when(c != NULL_ID, c)
-    return out.select(null_if(F.col("doc_id")).alias("doc_id"), F.col("n").cast("long").alias("n_shingles"), null_if(component).alias("component_id"), (F.col("doc_id") == component).alias("kept"))
+    out = described.select("doc_id", "missing", "n", "h1", "h2").join(of_class, ["h1", "h2", "n"], "left")
+    nameless = described.where("missing").select(F.col("doc_id").alias("component")).distinct()
+    return out.select("doc_id", "missing", "n", F.coalesce("component", "doc_id").alias("component")), nameless
+
+
+def near_duplicates(documents: DataFrame) -> DataFrame:
+    """(doc_id, n_shingles, component_id, kept): one row per row of ``documents``."""
+    found, nameless = components_of(documents)
+    out = found.join(nameless.withColumn("unnamed", F.lit(True)), "component", "left")
+    component = F.when(F.col("unnamed").isNull(), F.col("component"))
+    return out.select(F.when(~F.col("missing"), F.col("doc_id")).alias("doc_id"), F.col("n").cast("long").alias("n_shingles"), component.alias("component_id"), (F.col("doc_id") == F.col("component")).alias("kept"))
+
+
+def clean(documents: DataFrame) -> DataFrame:
+    """One row of each component, with all columns: the smallest doc_id, and one row of those that
+    are repeated as they are."""
+    found, _ = components_of(documents)
+    gone = found.where(F.col("doc_id") != F.col("component")).select(F.col("doc_id").alias("gristmill id")).distinct()
+    left = documents.withColumn("gristmill id", row_key()).join(gone.hint("merge"), "gristmill id", "left_anti")
+    return left.withColumn("gristmill text", F.xxhash64("text")).dropDuplicates(["gristmill id", "gristmill text"]).select(*documents.columns)

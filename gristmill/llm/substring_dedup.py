@@ -12,9 +12,10 @@ their own start.
 
 Cases: null and empty texts have no words; texts shorter than a window keep everything; a row
 repeated as it is (same doc_id and text) counts once and every copy of the row gets that result;
-equal texts under different doc_ids lose all but the first; a null doc_id sorts before all others
-and reads back as null; extra columns are ignored. doc_id should otherwise tell texts apart: rows
-that share one have their places mixed.
+equal texts under different doc_ids lose all but the first; rows with a null doc_id are documents of
+their own, told apart by a hash of the text, sort before others in its order (doc_ids below -2**62
+may be among them) and read back as null; extra columns are ignored. doc_id should otherwise tell
+texts apart: rows that share one have their places mixed.
 """
 
 from __future__ import annotations
@@ -27,7 +28,7 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
 
-from .anchors import NULL_ID, Windows, covered, find
+from .anchors import Windows, covered, find, ids_of
 from .common import batch_of
 from .fm_index import FMIndex
 from .textblocks import BLANKS, Block, byte_values, prefix_hash, runs, span_hash
@@ -91,7 +92,6 @@ def remove_repeats(documents: DataFrame, digest: bool = False) -> DataFrame:
                 removed.append(len(words) - len(left))
                 raw = b" ".join(left)
                 kept.append(hashlib.sha256(raw).hexdigest() if digest else raw.decode("utf-8"))
-            keys = b.column("doc_id").to_numpy()
-            yield batch_of(schema, pa.array(keys, mask=keys == NULL_ID), n, removed, kept)
+            yield batch_of(schema, ids_of(b), n, removed, kept)
 
     return find(documents, WORDS, compare, "words").mapInArrow(run, f"doc_id long, n_words long, n_removed long, {last[0]} string")

@@ -9,8 +9,8 @@ of suffix arrays (see ``suffix_levels``).
 
 Cases: null and empty texts have no bytes; texts shorter than a window keep everything; a row
 repeated as it is (same doc_id and text) counts once and every copy of the row gets that result;
-equal texts under different doc_ids lose every byte from ``WINDOW`` bytes on; a null doc_id reads
-back as null; extra columns are kept by ``rewrite`` and ignored otherwise. doc_id should otherwise
+equal texts under different doc_ids lose every byte from ``WINDOW`` bytes on; rows with a null doc_id
+are documents of their own, told apart by a hash of the text, and read back as null; extra columns are kept by ``rewrite`` and ignored otherwise. doc_id should otherwise
 tell texts apart: rows that share one have their places mixed.
 """
 
@@ -25,13 +25,14 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .anchors import NULL_ID, Windows, covered, find
+from .anchors import Windows, covered, find, ids_of, row_key
 from .common import batch_of
 from .suffix_levels import SuffixFamily
 from .textblocks import Block, byte_values
 
 WINDOW = 200
 BATCH = 1 << 18
+KEPT_DDL = "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary"
 
 
 def raw_bytes(block: Block) -> tuple[np.ndarray, np.ndarray]:
@@ -66,7 +67,7 @@ def _found(documents: DataFrame) -> DataFrame:
 
 def remove_repeats(documents: DataFrame) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept): spans are maximal removed runs, kept the bytes left."""
-    return _found(documents).mapInArrow(_cut(False), "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
+    return _found(documents).mapInArrow(_cut(False), KEPT_DDL)
 
 
 def digest(documents: DataFrame) -> DataFrame:
@@ -74,7 +75,7 @@ def digest(documents: DataFrame) -> DataFrame:
     return _found(documents).mapInArrow(_cut(True), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
-def _cut(hashed: bool):
+def _cut(hashed: bool, keyed: bool = False):
     schema = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string()) if hashed else ("kept", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -93,8 +94,7 @@ def _cut(hashed: bool):
                     spans.append(int(gone[0]) + int((gone[1:] & ~gone[:-1]).sum()))
                     raw = np.frombuffer(raw, np.uint8)[~gone].tobytes()
                 kept.append(hashlib.sha256(raw).hexdigest() if hashed else raw)
-            keys = b.column("doc_id").to_numpy()
-            yield batch_of(schema, pa.array(keys, mask=keys == NULL_ID), n, removed, spans, kept)
+            yield batch_of(schema, b.column("doc_id") if keyed else ids_of(b), n, removed, spans, kept)
 
     return run
 
@@ -108,9 +108,10 @@ def rewrite(documents: DataFrame) -> DataFrame:
         for b in batches:
             yield batch_of(schema, b.column("doc_id"), [x.decode("utf-8", errors="ignore") for x in b.column("kept").to_pylist()])
 
-    left = remove_repeats(documents).mapInArrow(decoded, "doc_id long, kept string").dropDuplicates(["doc_id"]).select(F.col("doc_id").alias("gristmill kept id"), F.col("kept").alias("gristmill kept text"))
-    rest = documents.drop("text")
-    out = rest.join(left, rest["doc_id"].eqNullSafe(left["gristmill kept id"])).withColumn("text", F.col("gristmill kept text"))
+    cut = _found(documents).mapInArrow(_cut(False, keyed=True), KEPT_DDL)
+    left = cut.mapInArrow(decoded, "doc_id long, kept string").dropDuplicates(["doc_id"]).select(F.col("doc_id").alias("gristmill kept id"), F.col("kept").alias("gristmill kept text"))
+    rest = documents.withColumn("gristmill id", row_key()).drop("text")
+    out = rest.join(left, F.col("gristmill id") == F.col("gristmill kept id")).withColumn("text", F.col("gristmill kept text"))
     if "n_chars" in documents.columns:
         out = out.withColumn("n_chars", F.length("text").cast(documents.schema["n_chars"].dataType))
     return out.select(*documents.columns)

@@ -62,6 +62,31 @@ def test_repeated_rows_count_once(spark, monkeypatch, hot):
         assert (r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) == want[r.doc_id], r.doc_id
 
 
+def test_rows_without_ids_are_told_apart(spark):
+    rnd = random.Random(12)
+    fresh = lambda n: " ".join(f"{rnd.choice('abcdef')}{rnd.randint(0, 10**6)}" for _ in range(n))
+    passage, same = fresh(50), fresh(80)
+    texts = [f"{fresh(rnd.randint(10, 60))} {passage} {fresh(70)}" for _ in range(4)] + [fresh(100), fresh(110), same, same, "", None]
+    rows = [(None, x) for x in texts] + [(1, same), (2, f"{passage} {fresh(30)}"), (-(1 << 63) + 5, fresh(60))]
+    keys = {r.text: r.key for r in frame(spark, rows[: len(texts)]).select("text", anchors.row_key().alias("key")).collect()}
+    named = [(keys[x] if k is None else k, x) for k, x in rows]
+    assert len({k for k, _ in named}) == len(set(named))
+
+    def right(found, want, of):
+        got = sorted(repr(of(r)) for r in found.collect())
+        assert got == sorted(repr((k, *want[n])) for (k, _), (n, _) in zip(rows, named, strict=True))
+
+    right(substring_dedup.remove_repeats(frame(spark, rows), digest=True), brute.substring(named), tuple)
+    right(suffix_dedup.remove_repeats(frame(spark, rows)), brute.suffix(named), lambda r: (r.doc_id, r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)))
+    shown = {k: (n, None if c in keys.values() else c, kept) for k, (n, c, kept) in brute.near(named).items()}
+    right(minhash.near_duplicates(frame(spark, rows)), shown, tuple)
+    left = [(r.doc_id, r.text) for r in minhash.clean(frame(spark, rows)).collect()]
+    assert sorted(left, key=repr) == sorted(((k, x) for k, x in {*rows} if (k, x) != (1, same)), key=repr)
+    cut = brute.suffix(named)
+    rewritten = suffix_dedup.rewrite(frame(spark, rows)).collect()
+    assert sorted((repr(r.doc_id), r.text) for r in rewritten) == sorted((repr(k), cut[n][3].decode("utf-8", errors="ignore")) for (k, _), (n, _) in zip(rows, named, strict=True))
+
+
 def test_rewritten_texts_keep_columns(spark, rows):
     docs = frame(spark, rows).selectExpr("doc_id", "kept", "text", "cast(length(text) as long) as n_chars")
     out = suffix_dedup.rewrite(docs)

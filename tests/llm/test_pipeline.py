@@ -44,6 +44,16 @@ def test_pipeline_against_brute_force(spark, tmp_path):
     assert 200 not in found and 201 not in found and 204 not in found and passage not in " ".join(left.values())
 
 
+def test_second_stage_keeps_clean_rows_without_ids(spark, tmp_path):
+    rnd = random.Random(5)
+    fresh = lambda: " ".join(f"w{rnd.randint(0, 10**6)}x" for _ in range(80))
+    texts = [fresh() for _ in range(6)]
+    rows = [(None, x, "en") for x in texts[:4]] + [(None, texts[0], "en"), (7, texts[1] + " more", "en"), (8, texts[4], "en"), (9, texts[5], "en"), (9, texts[5], "en")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    out = corpus_pipeline.STAGES[1][1](spark, docs, str(tmp_path))
+    assert out.columns == docs.columns and sorted(map(repr, map(tuple, out.collect()))) == sorted(map(repr, [*rows[:4], *rows[6:8]]))
+
+
 def test_stages_keep_the_columns_of_documents(spark, tmp_path):
     schema = "doc_id long, text string, lang string, source string, n_chars long"
     empty = spark.createDataFrame([], schema)
