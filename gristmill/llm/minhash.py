@@ -1,28 +1,35 @@
 """Near-duplicate documents by b-bit MinHash.
 
 A document's set holds its distinct shingles of five words (A-Z lower-cased; with fewer words the
-whole sequence is one shingle). Documents of equal sets are one class, and only its smallest
-doc_id goes on. Minima of 128 hash functions give 32 band keys of four full minima each; of every
-minimum four bits are kept and packed into eight 64-bit numbers, from whose differing nibbles the
-similarity is estimated, corrected for chance collisions: J = (share equal - 1/16) / (1 - 1/16).
-
-Links: two classes are compared if they share a band key, their estimate reaches ``LEAST`` and they
-aren't connected yet; a link holds if 100 * intersection >= 75 * union on the full sets. At a
-similarity of 0.75 a pair shares no band with a probability of 5e-6, and falls below ``LEAST``
-(four standard errors) with one of about 3e-5.
-
-Candidates never are all pairs of a band. First each member is compared with the smallest of its
-band. After these links' components are known, only members outside the component of their band's
-centre are compared with the band's members, block by block on packed signatures; each is given
-its best partners of other components, whose links are checked and joined. Rounds go on with more
-partners until every pair of different components was checked, so a group of copies of any size
-costs a few pairs per member, and no link between components is lost. Sets are compared by 64-bit
-shingle hashes.
+whole sequence is one shingle). Documents of equal sets are one class, known by the hash of its
+set. Minima of 128 hash functions give 32 band keys of four full minima each; of every minimum four
+bits are kept and packed into eight 64-bit numbers, from whose differing nibbles the similarity is
+estimated, corrected for chance collisions: J = (share equal - 1/16) / (1 - 1/16).
+
+Links: two classes are compared if they share a band key and their estimate reaches ``LEAST``; a
+link holds if 100 * intersection >= 75 * union on the full sets. At a similarity of 0.75 a pair
+shares no band with a probability of 5e-6, and falls below ``LEAST`` (five standard errors) with one
+of less than 1e-6.
+
+No pair is ever written that isn't a link or a pair with the centre of a band:
+1. ``star_pairs``: each member of a band with the band's centre, its class of the smallest doc_id.
+2. ``test_stars`` tests these pairs on the full sets. A group is a centre with all members of its
+   bands; members without a link to their centre are its outsiders.
+3. ``test_cells`` takes the groups that have outsiders and other members, in cells of bounded size,
+   and tests each outsider with all members of its group that it isn't connected with yet. A cell
+   gives a spanning forest: one row per outsider at most, whatever the number of its pairs.
+4. Components of these links (``components``).
+So a group whose members all resemble its centre costs one test a member, and every pair of
+different components that shares a band is tested. Sets are compared by 64-bit shingle hashes, and
+classes are told apart by 64 bits of their set's hash.
 
 Cases: documents without words (or null text) have no shingle and no link; texts of one to four
-words link with equal sequences only; repeated rows are of one class; rows with a null doc_id
-are documents of their own, told apart by a hash of the text, sort before others (doc_ids below
--2**62 may be among them) and read back as null, also as a component_id; extra columns are ignored.
+words link with equal sequences only; a very long text is one set like any other and travels alone;
+repeated rows, and texts of equal sets, are of one class; a tie of doc_ids is settled by a hash of
+the text, so rows that share a doc_id but not the text are documents of their own; so are rows with
+a null doc_id, which sort last: their component_id is the smallest doc_id of their component, null
+where it has none. An empty table gives no row; extra columns are ignored by ``near_duplicates`` and
+kept by ``clean``.
 """
 
 from __future__ import annotations
@@ -35,8 +42,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .anchors import documents_of, pack, row_key
-from .common import batch_of, materialize, release
+from .common import batch_of, materialize, quoted, release, shuffle_partitions
 from .components import connected_components
 from .textblocks import BLANKS, Block, U, block_of, byte_values, gather_runs, lower_ascii, mix, prefix_hash, row_slices_of, runs, span_hash
 
@@ -44,11 +50,9 @@ SHINGLE = 5
 HASHES, ROWS, BITS = 128, 4, 4
 BANDS = HASHES // ROWS
 #: Similarity of a link, in per cent, and the least estimate that is checked.
-LINK, LEAST = 75, 0.58
-BLOCK = 1024
-#: Partners a member is given in a block in the first round over open bands; later rounds give
-#: ``GROWTH`` times as many, until none is left out.
-FIRST, GROWTH = 1, 8
+LINK, LEAST = 75, 0.54
+#: Bounds of one side of a cell: members, and shingles of all of them.
+CELL_ROWS, CELL_SHINGLES = 1024, 1 << 19
 _A = mix(np.arange(1, HASHES + 1, dtype=U)) | U(1)
 _B = mix(np.arange(HASHES + 1, 2 * HASHES + 1, dtype=U))
 
@@ -71,8 +75,8 @@ def shingle_sets(block: Block) -> tuple[np.ndarray, np.ndarray]:
     return found[keep], np.bincount(doc[keep], minlength=len(words))
 
 
-SET_DDL = "doc_id long, missing boolean, n int, h1 long, h2 long, bands array<long>, bits array<long>"
-SETS = pa.schema([("doc_id", pa.int64()), ("missing", pa.bool_()), ("n", pa.int32()), ("h1", pa.int64()), ("h2", pa.int64()), ("bands", pa.list_(pa.int64())), ("bits", pa.list_(pa.int64()))])
+SETS = pa.schema([("doc_id", pa.int64()), ("missing", pa.bool_()), ("th", pa.int64()), ("n", pa.int32()), ("h1", pa.int64()), ("h2", pa.int64()), ("bands", pa.list_(pa.int64())), ("bits", pa.list_(pa.int64()))])
+SET_DDL = "doc_id long, missing boolean, th long, n int, h1 long, h2 long, bands array<long>, bits array<long>"
 
 
 def signatures(sets: np.ndarray, count: np.ndarray):
@@ -99,8 +103,14 @@ def signatures(sets: np.ndarray, count: np.ndarray):
     return h1, h2, bands, bits
 
 
-def describe(documents: DataFrame) -> DataFrame:
-    """(doc_id, missing, n, h1, h2, bands, bits): the size and hash of each set, its band keys and packed bits."""
+def identified(documents: DataFrame) -> DataFrame:
+    """(doc_id, missing, th, text): doc_id (0 where it is missing) and a hash of the text tell rows apart."""
+    doc_id = F.col("doc_id").cast("long")
+    return documents.select(F.coalesce(doc_id, F.lit(0)).alias("doc_id"), doc_id.isNull().alias("missing"), F.xxhash64("text").alias("th"), "text")
+
+
+def describe(docs: DataFrame) -> DataFrame:
+    """The size and hash of each row's set, its band keys and packed bits (``SETS``)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         release()
@@ -116,9 +126,9 @@ def describe(documents: DataFrame) -> DataFrame:
                 for x in (bands, bits):
                     cuts = np.concatenate([[0], np.cumsum(np.where(some, x.shape[1], 0))])
                     lists.append(pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pa.array(np.ascontiguousarray(x).view(np.int64).ravel())))
-                yield batch_of(SETS, b.column("doc_id").slice(a, z - a), b.column("missing").slice(a, z - a), count.astype(np.int32), full[0], full[1], *lists)
+                yield batch_of(SETS, *(b.column(k).slice(a, z - a) for k in ("doc_id", "missing", "th")), count.astype(np.int32), full[0], full[1], *lists)
 
-    return documents.mapInArrow(run, SET_DDL)
+    return docs.mapInArrow(run, SET_DDL)
 
 
 _NIBBLES = 0x1111111111111111
@@ -138,154 +148,187 @@ def estimate(different):
     return ((1 - different / HASHES) - chance) / (1 - chance)
 
 
-#: The same over array columns xa and xb.
-_DIFFERING_SQL = (
-    "aggregate(zip_with(xa, xb, (x, y) -> bit_count((((x ^ y) | shiftrightunsigned(x ^ y, 2)) | shiftrightunsigned((x ^ y) | shiftrightunsigned(x ^ y, 2), 1))"
-    f" & {_NIBBLES}L)), 0, (s, v) -> s + v)"
-)
+def fitting(bits: np.ndarray, n: int, other_bits: np.ndarray, other_n: np.ndarray) -> np.ndarray:
+    """Which of the others may be linked by estimate and set size."""
+    low, high = np.minimum(n, other_n).astype(np.int64), np.maximum(n, other_n).astype(np.int64)
+    return (100 * low >= LINK * high) & (estimate(differing(bits, other_bits)) >= LEAST)
 
 
-def verify(pairs: DataFrame, packed: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose full sets are similar enough."""
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    texts = materialize(packed.join(ids.hint("merge"), "doc_id").dropDuplicates(["doc_id"]), "texts")
-    both = pairs.join(texts.select(F.col("doc_id").alias("b"), F.col("packed").alias("pb")), "b").join(texts.select(F.col("doc_id").alias("a"), F.col("packed").alias("pa")), "a").select("a", "b", "pa", "pb")
-    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+def linked(common, left, right):
+    """Whether sets of these sizes and this intersection are linked."""
+    return (common > 0) & (100 * common >= LINK * (left + right - common))
+
+
+def bits_of(column: pa.Array) -> np.ndarray:
+    return column.flatten().to_numpy().view(U).reshape(len(column), -1)
+
+
+def unpacked(texts: list[bytes], expand: zstandard.ZstdDecompressor) -> tuple[np.ndarray, np.ndarray]:
+    """The sets of packed texts: shingle hashes, and where each set begins (one more than texts)."""
+    raw = [expand.decompress(x) for x in texts]
+    data = np.frombuffer(b"".join(raw), np.uint8)
+    sets, count = shingle_sets(Block(data, np.concatenate([[0], np.cumsum([len(x) for x in raw], dtype=np.int64)])))
+    return sets, np.concatenate([[0], np.cumsum(count)])
+
+
+def star_pairs(classes: DataFrame) -> DataFrame:
+    """(a, b): each member b of a band with the band's centre a."""
+    keys = classes.select("v", F.when(F.col("first.missing"), F.lit((1 << 63) - 1)).otherwise(F.col("first.doc_id")).alias("place"), F.explode("bands").alias("key"))
+    centres = keys.groupBy("key").agg(F.min_by("v", "place").alias("a"), F.count(F.lit(1)).alias("size")).where("size > 1").select("key", "a")
+    return keys.select("key", F.col("v").alias("b")).join(centres.hint("merge"), "key").where("a <> b").select("a", "b").distinct()
+
+
+def texts_of(docs: DataFrame, classes: DataFrame, stars: DataFrame) -> DataFrame:
+    """(v, n, bits, packed) of each class in a pair: its first row's text, compressed."""
+    wanted = stars.select(F.explode(F.array("a", "b")).alias("v")).distinct()
+    rows = classes.select("v", "n", "bits", "first.*").join(wanted.hint("merge"), "v")
+    schema = pa.schema([("doc_id", pa.int64()), ("missing", pa.bool_()), ("th", pa.int64()), ("packed", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        expand = zstandard.ZstdDecompressor()
-        held: dict[int, np.ndarray] = {}  # the left side's sets: its rows stand together
+        release()
+        squeeze = zstandard.ZstdCompressor(level=1)
+        for b in batches:
+            block = block_of(b.column("text"))
+            yield batch_of(schema, *(b.column(k) for k in ("doc_id", "missing", "th")), [squeeze.compress(block.doc(i)) for i in range(len(block))])
 
-        def sets_of(packed_text: bytes) -> np.ndarray:
-            data = np.frombuffer(expand.decompress(packed_text), np.uint8)
-            return shingle_sets(Block(data, np.array([0, len(data)])))[0]
+    packed = docs.mapInArrow(run, "doc_id long, missing boolean, th long, packed binary")
+    return packed.join(rows.hint("merge"), ["doc_id", "missing", "th"]).dropDuplicates(["doc_id", "missing", "th"]).select("v", "n", "bits", "packed")
 
+
+def test_stars(stars: DataFrame, texts: DataFrame) -> DataFrame:
+    """(a, b, n, linked): the pairs with the size of b's set, tested on their full sets."""
+    right = texts.select(F.col("v").alias("b"), F.col("n").alias("nb"), F.col("bits").alias("xb"), F.col("packed").alias("pb"))
+    left = texts.select(F.col("v").alias("a"), F.col("n").alias("na"), F.col("bits").alias("xa"), F.col("packed").alias("pa"))
+    both = stars.join(right.hint("merge"), "b").join(left.hint("merge"), "a").select("a", "b", "na", "nb", "xa", "xb", "pa", "pb")
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("n", pa.int32()), ("linked", pa.bool_())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
+        expand = zstandard.ZstdDecompressor()
         for batch in batches:
+            na, nb = (batch.column(k).to_numpy() for k in ("na", "nb"))
             ok = np.zeros(batch.num_rows, bool)
-            a, b = batch.column("a").to_numpy(), batch.column("b").to_numpy()
-            for i in range(batch.num_rows):
-                left = held.get(int(a[i]))
-                if left is None:
-                    if len(held) > 200:
-                        held.clear()
-                    left = held[int(a[i])] = sets_of(batch.column("pa")[i].as_py())
-                right = sets_of(batch.column("pb")[i].as_py())
-                common = len(np.intersect1d(left, right, assume_unique=True))
-                ok[i] = common > 0 and 100 * common >= LINK * (len(left) + len(right) - common)
-            yield batch_of(schema, a[ok], b[ok])
-
-    return both.mapInArrow(run, "a long, b long")
-
-
-def outside_pairs(members: DataFrame, most: int) -> DataFrame:
-    """(a, b, cut): for each member outside the component of its band's centre, its ``most`` best
-    partners of other components in each block of the band, among those whose estimate reaches
-    ``LEAST`` and whose set sizes allow a link; cut: it has more. A pair is left to the first band
-    whose keys it shares (keys are compared by half their bits, that is 32).
-    members: (key, band, rep, component, home, size, bits, n, short)."""
-    blocks = F.ceil(F.col("size") / BLOCK)
-    salted = members.withColumn("salt", F.pmod(F.xxhash64("rep"), blocks))
-    item = F.collect_list(F.struct("rep", "component", "n", "bits", "short"))  # about BLOCK rows, by the salt
-    inside = salted.groupBy("key", "salt").agg(item.alias("inside"))
-    outside = salted.where(F.col("component") != F.col("home")).groupBy("key", "band", "salt").agg(item.alias("outside"))
-    schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("cut", pa.bool_())])
-
-    def columns(scalar):
-        own = scalar.values
-
-        def grid(k: int, kind) -> np.ndarray:
-            lists = own.field(k)
-            return lists.values.to_numpy()[lists.offsets[0].as_py() : lists.offsets[-1].as_py()].view(kind).reshape(len(own), -1)
-
-        return own.field(0).to_numpy(), own.field(1).to_numpy(), own.field(2).to_numpy().astype(np.int64), grid(3, U), grid(4, np.int32)
+            if batch.num_rows:
+                fit = fitting(bits_of(batch.column("xa")), na, bits_of(batch.column("xb")), nb)
+                for some in np.split(rows := np.flatnonzero(fit), np.arange(256, len(rows), 256)):
+                    centres, where = np.unique(batch.column("a").to_numpy()[some], return_index=True)
+                    place = np.searchsorted(centres, batch.column("a").to_numpy()[some]) + len(some)
+                    packed = [batch.column("pb")[i].as_py() for i in some] + [batch.column("pa")[i].as_py() for i in some[where]]
+                    sets, cut = unpacked(packed, expand)
+                    for k, i in enumerate(some):
+                        left, right = sets[cut[place[k]] : cut[place[k] + 1]], sets[cut[k] : cut[k + 1]]
+                        ok[i] = linked(len(np.intersect1d(left, right, assume_unique=True)), len(left), len(right))
+            yield batch_of(schema, batch.column("a"), batch.column("b"), nb, ok)
+
+    return both.mapInArrow(run, "a long, b long, n int, linked boolean")
+
+
+def test_cells(tested: DataFrame, texts: DataFrame) -> DataFrame:
+    """(a, b): a forest that connects the outsiders of each group with those members that they are
+    linked with. A cell (i, j) has the outsiders of part i and all members of part j of a group."""
+    groups = tested.groupBy("a").agg(F.count(F.lit(1)).alias("rows"), F.count_if(~F.col("linked")).alias("outsiders"), F.sum("n").alias("shingles")).where("rows > 1 and outsiders > 0")
+    parts = F.greatest(F.ceil(F.col("rows") / CELL_ROWS), F.ceil(F.col("shingles") / CELL_SHINGLES)).cast("int")
+    dealt = tested.join(groups.select("a", parts.alias("parts")).hint("merge"), "a").withColumn("part", F.pmod(F.xxhash64("b"), F.col("parts")).cast("int"))
+    every = F.sequence(F.lit(0), F.col("parts") - 1)
+    as_member = F.transform(every, lambda i: F.struct(i.alias("i"), F.col("part").alias("j")))
+    as_outsider = F.transform(every, lambda j: F.struct(F.col("part").alias("i"), j.alias("j")))
+    cells = F.when(F.col("linked"), as_member).otherwise(F.array_union(as_member, as_outsider))
+    placed = dealt.select("a", "b", "n", "linked", "part", F.explode(cells).alias("cell"))
+    rows = placed.join(texts.select(F.col("v").alias("b"), "bits", "packed").hint("merge"), "b")
+    outside, inside = ~F.col("linked") & (F.col("cell.i") == F.col("part")), F.col("cell.j") == F.col("part")
+    rows = rows.select("a", "cell.i", "cell.j", "b", "n", "linked", outside.alias("outside"), inside.alias("inside"), "bits", "packed")
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         release()
-        for batch in batches:
-            for i in range(batch.num_rows):
-                band = batch.column("band")[i].as_py()
-                rep_a, comp_a, n_a, bits_a, short_a = columns(batch.column("outside")[i])
-                rep_b, comp_b, n_b, bits_b, short_b = columns(batch.column("inside")[i])
-                for s in range(0, len(rep_a), 128):
-                    part = slice(s, s + 128)
-                    apart = differing(bits_a[part, None, :], bits_b[None, :, :])
-                    low, high = np.minimum(n_a[part, None], n_b[None, :]), np.maximum(n_a[part, None], n_b[None, :])
-                    fit = (estimate(apart) >= LEAST) & (comp_a[part, None] != comp_b[None, :]) & (100 * low >= LINK * high)
-                    x, y = np.nonzero(fit)
-                    for at in range(0, len(x), 1 << 16):
-                        u, v = x[at : at + (1 << 16)], y[at : at + (1 << 16)]
-                        before = (short_a[part][u, :band] == short_b[v, :band]).any(axis=1)
-                        fit[u[before], v[before]] = False
-                    more = fit.sum(axis=1) > most
-                    # the fewest differing values first, ties by place in the block
-                    order = np.where(fit, apart * len(rep_b) + np.arange(len(rep_b)), np.iinfo(np.int64).max)
-                    if len(rep_b) > most:
-                        fit &= order <= np.partition(order, most - 1, axis=1)[:, most - 1 : most]
-                    x, y = np.nonzero(fit)
-                    yield batch_of(schema, np.minimum(rep_a[part][x], rep_b[y]), np.maximum(rep_a[part][x], rep_b[y]), more[x])
-
-    pairs = outside.drop("salt").join(inside.drop("salt"), "key").select("band", "outside", "inside").mapInArrow(run, "a long, b long, cut boolean")
-    return pairs.groupBy("a", "b").agg(F.max("cut").alias("cut"))
+        expand = zstandard.ZstdDecompressor()
+        for cell in whole_cells(batches):
+            yield batch_of(schema, *forest(cell, expand))
+
+    return rows.repartition(shuffle_partitions(tested.sparkSession), "a", "i", "j").sortWithinPartitions("a", "i", "j", "b").mapInArrow(run, "a long, b long")
+
+
+def whole_cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of one cell at a time; they stand together."""
+    held: list[pa.RecordBatch] = []
+    last: tuple = ()
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        keys = np.stack([batch.column(k).to_numpy().astype(np.int64) for k in ("a", "i", "j")])
+        cuts = np.flatnonzero((keys[:, 1:] != keys[:, :-1]).any(axis=0)) + 1
+        for start, stop in zip([0, *cuts.tolist()], [*cuts.tolist(), batch.num_rows], strict=True):
+            key = tuple(keys[:, start].tolist())
+            if held and key != last:
+                yield pa.concat_batches(held)
+                held = []
+            last = key
+            held.append(batch.slice(start, stop - start))
+    if held:
+        yield pa.concat_batches(held)
+
+
+def forest(cell: pa.RecordBatch, expand: zstandard.ZstdDecompressor) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs that connect what the cell's outsiders are linked with. Members linked to the centre
+    are one component from the start, and an outsider is tested with other components only."""
+    b, n = cell.column("b").to_numpy(), cell.column("n").to_numpy()
+    joined, outside, inside = (cell.column(k).to_numpy(zero_copy_only=False) for k in ("linked", "outside", "inside"))
+    bits, centre = bits_of(cell.column("bits")), len(b)
+    label = np.where(joined, centre, np.arange(len(b)))
+    if outside.any():
+        sets, cut = unpacked(cell.column("packed").to_pylist(), expand)
+        words, dense = np.unique(sets, return_inverse=True)
+        size, flag, members = np.diff(cut), np.zeros(len(words), bool), np.flatnonzero(inside)
+        for x in np.flatnonzero(outside).tolist():
+            other = members[label[members] != label[x]]
+            other = other[fitting(bits[x], n[x], bits[other], n[other])]
+            if not len(other):
+                continue
+            own = dense[cut[x] : cut[x + 1]]
+            flag[own] = True
+            seen = flag[dense[gather_runs(size[other], cut[other])]]
+            common = np.add.reduceat(seen, np.cumsum(size[other]) - size[other], dtype=np.int64)
+            flag[own] = False
+            hit = label[other[linked(common, size[x], size[other])]]
+            if len(hit):
+                met = np.append(hit, label[x])
+                label[np.isin(label, met)] = met.max()
+    new = np.flatnonzero(~joined & (label != np.arange(len(b))))
+    return np.append(b, cell.column("a")[0].as_py())[label[new]], b[new]
 
 
 def components_of(documents: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(doc_id, missing, n, component) of each row, with ``row_key`` as doc_id, and the component
-    keys that stand for a null doc_id."""
-    docs = documents_of(documents)
+    """Each row's description (``SETS`` without bands and bits), and (h1, h2, n, head) of each class,
+    head being the first row (missing, doc_id, th) of its component."""
+    docs = identified(documents)
     described = materialize(describe(docs), "sets")
     # one row per class: equal sets have equal keys and bits
-    classes = materialize(described.where("n > 0").groupBy("h1", "h2", "n").agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands"), F.first("bits").alias("bits")), "classes")
-    keys = classes.select("rep", F.posexplode("bands").alias("band", "key"))
-    centres = keys.groupBy("key").agg(F.min("rep").alias("centre"), F.count(F.lit(1)).alias("size")).where("size > 1")
-    members = materialize(keys.join(centres, "key"), "members")
-    bits = classes.select("rep", "bits", "n", F.transform("bands", lambda k: F.shiftright(k, 32).cast("int")).alias("short"))
-    packed = pack(docs).drop("missing")
-
-    stars = members.where(F.col("rep") != F.col("centre")).select(F.col("centre").alias("a"), F.col("rep").alias("b")).distinct()
-    stars = stars.join(bits.select(F.col("rep").alias("b"), F.col("bits").alias("xb"), F.col("n").alias("nb")), "b").join(bits.select(F.col("rep").alias("a"), F.col("bits").alias("xa"), F.col("n").alias("na")), "a")
-    most = int(HASHES * (1 - (LEAST * (1 - 1 / (1 << BITS)) + 1 / (1 << BITS))))
-    stars = stars.where(F.least("na", "nb") * 100 >= F.greatest("na", "nb") * LINK)  # a link needs sizes that close
-    tested = materialize(stars.where(F.expr(_DIFFERING_SQL) <= most).select("a", "b"), "pairs")
-    edges = materialize(verify(tested, packed), "links")
-    parts = connected_components(edges)
-
-    label, most = materialize(parts, "parts"), FIRST
-    while True:
-        # bands with members outside the component of their centre
-        home = label.select(F.col("vertex").alias("centre"), F.col("component").alias("home"))
-        own = label.select(F.col("vertex").alias("rep"), "component")
-        placed = members.join(own, "rep", "left").join(home, "centre", "left").select("key", "band", "rep", "size", F.coalesce("component", "rep").alias("component"), F.coalesce("home", "centre").alias("home"))
-        open_keys = placed.where(F.col("component") != F.col("home")).select("key").distinct()
-        proposed = materialize(outside_pairs(placed.join(open_keys, "key", "left_semi").join(bits, "rep"), most), "pairs")
-        new = materialize(proposed.select("a", "b").join(tested, ["a", "b"], "left_anti"), "pairs")
-        untested = not new.isEmpty()
-        if untested:
-            found = materialize(verify(new, packed), "links")
-            tested, edges = tested.unionByName(new), edges.unionByName(found)
-            if not found.isEmpty():
-                label = materialize(connected_components(edges), "parts")
-        if not untested and proposed.where("cut").isEmpty():
-            break  # every pair of different components was tested
-        most *= GROWTH
-
-    of_class = classes.select("h1", "h2", "n", "rep").join(label.withColumnRenamed("vertex", "rep"), "rep", "left").select("h1", "h2", "n", F.coalesce("component", "rep").alias("component"))
-    out = described.select("doc_id", "missing", "n", "h1", "h2").join(of_class, ["h1", "h2", "n"], "left")
-    nameless = described.where("missing").select(F.col("doc_id").alias("component")).distinct()
-    return out.select("doc_id", "missing", "n", F.coalesce("component", "doc_id").alias("component")), nameless
+    classes = described.where("n > 0").groupBy("h1", "h2", "n").agg(F.min(F.struct("missing", "doc_id", "th")).alias("first"), F.first("bands").alias("bands"), F.first("bits").alias("bits"))
+    classes = materialize(classes.withColumn("v", F.col("h1")), "classes")
+    stars = materialize(star_pairs(classes), "stars")
+    texts = materialize(texts_of(docs, classes, stars), "texts")
+    tested = materialize(test_stars(stars, texts), "pairs")
+    links = tested.where("linked").select("a", "b").unionByName(test_cells(tested, texts))
+    label = connected_components(links).select(F.col("vertex").alias("v"), "component")
+    of_class = classes.select("h1", "h2", "n", "first", "v").join(label.hint("merge"), "v", "left").select("h1", "h2", "n", "first", F.coalesce("component", "v").alias("component"))
+    heads = of_class.groupBy("component").agg(F.min("first").alias("head"))
+    return described.drop("bands", "bits"), of_class.join(heads.hint("merge"), "component").select("h1", "h2", "n", "head")
 
 
 def near_duplicates(documents: DataFrame) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept): one row per row of ``documents``."""
-    found, nameless = components_of(documents)
-    out = found.join(nameless.withColumn("unnamed", F.lit(True)), "component", "left")
-    component = F.when(F.col("unnamed").isNull(), F.col("component"))
-    return out.select(F.when(~F.col("missing"), F.col("doc_id")).alias("doc_id"), F.col("n").cast("long").alias("n_shingles"), component.alias("component_id"), (F.col("doc_id") == F.col("component")).alias("kept"))
+    described, classes = components_of(documents)
+    out = described.join(classes.hint("merge"), ["h1", "h2", "n"], "left").withColumn("row", F.struct("missing", "doc_id", "th")).withColumn("head", F.coalesce("head", "row"))
+    doc_id, component_id = F.when(~F.col("missing"), F.col("doc_id")), F.when(~F.col("head.missing"), F.col("head.doc_id"))
+    return out.select(doc_id.alias("doc_id"), F.col("n").cast("long").alias("n_shingles"), component_id.alias("component_id"), F.coalesce(doc_id == component_id, F.col("row") == F.col("head")).alias("kept"))
 
 
 def clean(documents: DataFrame) -> DataFrame:
-    """One row of each component, with all columns: the smallest doc_id, and one row of those that
-    are repeated as they are."""
-    found, _ = components_of(documents)
-    gone = found.where(F.col("doc_id") != F.col("component")).select(F.col("doc_id").alias("gristmill id")).distinct()
-    left = documents.withColumn("gristmill id", row_key()).join(gone.hint("merge"), "gristmill id", "left_anti")
-    return left.withColumn("gristmill text", F.xxhash64("text")).dropDuplicates(["gristmill id", "gristmill text"]).select(*documents.columns)
+    """The first row of each component, with all columns; a row repeated as it is stays once."""
+    described, classes = components_of(documents)
+    heads = classes.select("head.*").unionByName(described.where("n = 0").select("missing", "doc_id", "th")).distinct()
+    names = {k: f"gristmill {k}" for k in ("missing", "doc_id", "th")}
+    doc_id = F.col("doc_id").cast("long")
+    keyed = documents.select(*quoted(documents), F.coalesce(doc_id, F.lit(0)).alias(names["doc_id"]), doc_id.isNull().alias(names["missing"]), F.xxhash64("text").alias(names["th"]))
+    left = keyed.join(heads.withColumnsRenamed(names).hint("merge"), [*names.values()], "left_semi").dropDuplicates([*names.values()])
+    return left.select(*quoted(documents))
