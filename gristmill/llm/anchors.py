@@ -13,9 +13,14 @@ Steps:
 2. ``decide``: after a shuffle by anchor and a sort (which spills), each task streams its rows
    once. It keeps only the state of the current anchor, however many rows that has.
 3. ``fetch``: the text of one member of each class whose anchor has several classes, by a join on
-   doc_id; hot anchors are split into single windows, which then shard by their own content.
+   the row; segments of hot anchors give their single windows instead, as hashes without text, so
+   that one shard holds equal windows only and is streamed in constant memory.
 4. the caller's index over the fetched segments, by shard; then ``spans_by_document``.
 
+A place is a row and a position in it. Rows are told apart by doc_id and 31 bits of a hash of their
+text, which stand above the position in ``start``; so rows that share a doc_id have places of their
+own, and a row repeated as it is has the same ones.
+
 Two modes. ``earlier``: a window counts if its content also starts earlier (smaller doc_id, or same
 document, earlier start). ``elsewhere``: it counts if its content starts anywhere else.
 """
@@ -42,25 +47,35 @@ SLICE = 1 << 20
 #: Keys of rows without a doc_id: the lowest quarter of all longs, by a hash of the text.
 NULL_ID, NULL_KEYS = -(1 << 63), 1 << 62
 
-ROW = pa.schema([("anchor", pa.int64()), ("content", pa.int64()), ("doc_id", pa.int64()), ("start", pa.int32()), ("windows", pa.int32()), ("many", pa.int8())])
-ROW_DDL = "anchor long, content long, doc_id long, start int, windows int, many byte"
-FOUND = pa.schema([("doc_id", pa.int64()), ("start", pa.int32()), ("windows", pa.int32()), ("kind", pa.int8()), ("anchor", pa.int64()), ("many", pa.int8())])
-FOUND_DDL = "doc_id long, start int, windows int, kind byte, anchor long, many byte"
+ROW = pa.schema([("anchor", pa.int64()), ("content", pa.int64()), ("doc_id", pa.int64()), ("start", pa.int64()), ("windows", pa.int32()), ("many", pa.int8())])
+ROW_DDL = "anchor long, content long, doc_id long, start long, windows int, many byte"
+FOUND = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("windows", pa.int32()), ("kind", pa.int8()), ("anchor", pa.int64()), ("many", pa.int8())])
+FOUND_DDL = "doc_id long, start long, windows int, kind byte, anchor long, many byte"
 
 
 @dataclass(frozen=True)
 class Windows:
     """symbols: a block's symbols and the first symbol of each document (one more than documents);
-    value: a 64-bit value of each symbol; step: windows of a hot cell."""
+    value: a 64-bit value of each symbol."""
 
     length: int
     gram: int
-    step: int
     earlier: bool
     symbols: Callable[[Block], tuple[np.ndarray, np.ndarray]]
     value: Callable[[np.ndarray], np.ndarray]
 
 
+def leftmost_smallest(gram: np.ndarray, size: int) -> np.ndarray:
+    """For each window of ``size`` grams, the place of its smallest hash, the leftmost of equal ones."""
+    out = np.empty(max(0, len(gram) - size + 1), np.int64)
+    part = (1 << 24) - size  # the 24 low bits of a hash give way to the place within a part
+    for a in range(0, len(out), part):
+        own = gram[a : a + part + size - 1]
+        low = sliding_min(((own >> U(24)) << U(24)) | np.arange(len(own), dtype=U), size)
+        out[a : a + part] = a + (low & U((1 << 24) - 1)).astype(np.int64)
+    return out
+
+
 def segments(values: np.ndarray, first: np.ndarray, w: Windows):
     """(document, start within it, windows, anchor hash, content hash) of all segments."""
     n = len(values)
@@ -70,11 +85,7 @@ def segments(values: np.ndarray, first: np.ndarray, w: Windows):
     prefix = prefix_hash(values)
     at = np.arange(n - w.gram + 1)
     gram = span_hash(prefix, at, at + w.gram)
-    # the low bits give way to the position, so that the smallest is also the leftmost
-    bits = U(24 if n < 1 << 24 else 34)
-    key = ((gram >> bits) << bits) | at.astype(U)
-    low = sliding_min(key, w.length - w.gram + 1)
-    place = (low & ((U(1) << bits) - U(1))).astype(np.int64)
+    place = leftmost_smallest(gram, w.length - w.gram + 1)
     doc = np.repeat(np.arange(len(first) - 1), np.diff(first))
     valid = doc[: len(place)] == doc[w.length - 1 :]
     new = np.ones(len(place), bool)
@@ -98,11 +109,14 @@ def scan(documents: DataFrame, w: Windows) -> DataFrame:
         release()
         for b in batches:
             block, ids = block_of(b.column("text")), b.column("doc_id").to_numpy(zero_copy_only=False)
+            th = b.column("th").to_numpy().astype(np.int64) << 32
             held = []
             for a, z in row_slices_of(block, SLICE):
                 symbols, first = w.symbols(block.slice(a, z))
-                doc, start, windows, anchor, content = segments(w.value(symbols), first, w)
-                held.append((anchor, content, ids[a:z][doc], start.astype(np.int32), windows.astype(np.int32)))
+                for at in range(0, len(symbols), SLICE) if z - a == 1 else (0,):  # a long text in overlapping parts
+                    part, own = (symbols[at : at + SLICE + w.length - 1], None) if z - a == 1 else (symbols, first)
+                    doc, start, windows, anchor, content = segments(w.value(part), np.array([0, len(part)]) if own is None else own, w)
+                    held.append((anchor, content, ids[a:z][doc], (start + at) | th[a:z][doc], windows.astype(np.int32)))
             if held:
                 yield combine(*(np.concatenate(x) for x in zip(*held, strict=True)), w.earlier)
 
@@ -208,108 +222,142 @@ class _Stream:
 
 
 def pack(documents: DataFrame) -> DataFrame:
-    """(doc_id, missing, packed): texts as compressed bytes, so that joins on doc_id move less."""
+    """(doc_id, missing, th, packed): texts as compressed bytes, so that joins move less."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         release()
         squeeze = zstandard.ZstdCompressor(level=1)
         for b in batches:
             block = block_of(b.column("text"))
-            yield batch_of(PACKED, b.column("doc_id"), b.column("missing"), [squeeze.compress(block.doc(i)) for i in range(len(block))])
+            yield batch_of(PACKED, b.column("doc_id"), b.column("missing"), b.column("th"), [squeeze.compress(block.doc(i)) for i in range(len(block))])
 
-    return documents.mapInArrow(run, "doc_id long, missing boolean, packed binary")
+    return documents.mapInArrow(run, "doc_id long, missing boolean, th int, packed binary")
 
 
-PACKED = pa.schema([("doc_id", pa.int64()), ("missing", pa.bool_()), ("packed", pa.binary())])
-PIECE = pa.schema([("shard", pa.int64()), ("doc_id", pa.int64()), ("start", pa.int32()), ("piece", pa.binary())])
-SPAN_DDL = "doc_id long, start int, windows int"
-SPAN = pa.schema([("doc_id", pa.int64()), ("start", pa.int32()), ("windows", pa.int32())])
+PACKED = pa.schema([("doc_id", pa.int64()), ("missing", pa.bool_()), ("th", pa.int32()), ("packed", pa.binary())])
+PIECE = pa.schema([("shard", pa.int64()), ("doc_id", pa.int64()), ("start", pa.int64()), ("many", pa.int8()), ("piece", pa.binary())])
+SPAN_DDL = "doc_id long, start long, windows int"
+SPAN = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("windows", pa.int32())])
 
 
 def fetch(packed: DataFrame, found: DataFrame, w: Windows) -> DataFrame:
-    """(shard, doc_id, start, piece): symbols of one member of each class that must be compared.
+    """(shard, doc_id, start, many, piece): symbols of one member of each class that must be compared.
 
-    A shard is an anchor. The classes of an anchor with more than ``HOT_CLASSES`` classes are cut
-    into runs of ``step`` windows at fixed distances from the anchor; all windows of a run contain
-    a core of length - step + 1 symbols, and the core's hash is the shard.
+    A shard is an anchor. Segments of an anchor with more than ``HOT_CLASSES`` classes give a row
+    without a piece for each of their windows, the window's hash as shard, those of a batch combined
+    (``many`` as in ``combine``).
     """
     compare = found.where(F.col("kind") == COMPARE)
     hot = compare.groupBy("anchor").agg(F.count(F.lit(1)).alias("classes")).where(F.col("classes") > HOT_CLASSES).select("anchor", F.lit(True).alias("hot"))
-    wanted = compare.join(hot, "anchor", "left").groupBy("doc_id").agg(F.collect_list(F.struct("start", "windows", "anchor", F.coalesce("hot", F.lit(False)).alias("hot"))).alias("wanted"))  # one document's segments
+    item = F.struct(place_of("start").alias("start"), "windows", "anchor", F.coalesce("hot", F.lit(False)).alias("hot"))
+    wanted = compare.join(hot, "anchor", "left").groupBy("doc_id", hash_of("start").alias("th")).agg(F.collect_list(item).alias("wanted"))  # one document's segments
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         expand = zstandard.ZstdDecompressor()
         for b in batches:
-            shard, doc, start, piece = [], [], [], []
-            keys = b.column("doc_id")
+            rows: list[tuple] = []
+            size, windows = 0, []
+            docs, ths = b.column("doc_id").to_numpy(), b.column("th").to_numpy()
             for i in range(b.num_rows):
-                if i and keys[i] == keys[i - 1] and b.column("packed")[i] == b.column("packed")[i - 1]:
+                if i and docs[i] == docs[i - 1] and ths[i] == ths[i - 1]:
                     continue  # a repeated row
                 block = Block(data := np.frombuffer(expand.decompress(b.column("packed")[i].as_py()), np.uint8), np.array([0, len(data)]))
-                symbols, before = w.symbols(block)[0], len(piece)
+                symbols, high = w.symbols(block)[0], int(ths[i]) << 32
                 own = b.column("wanted")[i].values
                 for s, k, anchor, is_hot in zip(*(own.field(j).to_pylist() for j in range(4)), strict=True):
-                    for key, at, size in cells(symbols, s, k, w) if is_hot else ((anchor, s, k),):
-                        shard.append(key)
-                        start.append(at)
-                        piece.append(symbols[at : at + size + w.length - 1].tobytes())
-                doc += [b.column("doc_id")[i].as_py()] * (len(piece) - before)
-                if sum(map(len, piece)) > SLICE:
-                    yield batch_of(PIECE, shard, doc, start, piece)
-                    shard, doc, start, piece = [], [], [], []
-            if piece:
-                yield batch_of(PIECE, shard, doc, start, piece)
-
-    return packed.drop("missing").join(wanted, "doc_id").mapInArrow(run, "shard long, doc_id long, start int, piece binary")
-
-
-def cells(symbols: np.ndarray, start: int, windows: int, w: Windows) -> Iterator[tuple[int, int, int]]:
-    """(shard, start, windows) of the runs of a hot segment."""
-    values = w.value(symbols[start : start + w.length])
-    prefix = prefix_hash(values)
-    at = np.arange(w.length - w.gram + 1)
-    place = start + int(np.argmin(span_hash(prefix, at, at + w.gram) >> U(24)))
-    last = start + windows - 1
-    for cell in range((place - last) // w.step, (place - start) // w.step + 1):
-        lo, hi = max(start, place - (cell + 1) * w.step + 1), min(last, place - cell * w.step)
-        if lo <= hi:
-            core = w.value(symbols[place - cell * w.step : place - (cell + 1) * w.step + 1 + w.length])
-            key = span_hash(prefix_hash(core), np.array([0]), np.array([len(core)])) ^ mix(np.array([cell + 1], U))
-            yield int(key.view(np.int64)[0]), lo, hi - lo + 1
-
-
-def by_shards(pieces: DataFrame, partitions: int, compare: Callable[..., tuple[np.ndarray, np.ndarray]], most: int = 1 << 20) -> DataFrame:
+                    if is_hot:
+                        prefix = prefix_hash(w.value(symbols[s : s + k + w.length - 1]))
+                        windows.append((span_hash(prefix, np.arange(k), np.arange(k) + w.length), np.full(k, docs[i]), s + np.arange(k) + high))
+                        size += 24 * k
+                    else:
+                        rows.append((anchor, docs[i], s + high, 0, symbols[s : s + k + w.length - 1].tobytes()))
+                        size += len(rows[-1][-1])
+                if size > SLICE:
+                    yield from give(rows, windows)
+                    rows, windows, size = [], [], 0
+            yield from give(rows, windows)
+
+    def give(rows: list[tuple], windows: list[tuple]) -> Iterator[pa.RecordBatch]:
+        if rows:
+            yield batch_of(PIECE, *zip(*rows, strict=True))
+        if windows:
+            key, doc, start = (np.concatenate(x) for x in zip(*windows, strict=True))
+            one = combine(key, key, doc, start, np.ones(len(key), np.int32), w.earlier)
+            yield batch_of(PIECE, one.column("anchor"), one.column("doc_id"), one.column("start"), one.column("many"), pa.nulls(one.num_rows, pa.binary()))
+
+    return packed.drop("missing").join(wanted, ["doc_id", "th"]).mapInArrow(run, "shard long, doc_id long, start long, many byte, piece binary")
+
+
+class _EqualWindows:
+    """Streams rows of equal windows, shard by shard in the order of their places, in constant memory."""
+
+    def __init__(self, earlier: bool):
+        self.earlier, self.shard, self.last, self.first = earlier, None, None, None
+
+    def add(self, shard: np.ndarray, doc: np.ndarray, start: np.ndarray, many: np.ndarray) -> Iterator[tuple]:
+        """(doc, start) arrays of places that count."""
+        n = len(shard)
+        settled = many == 2
+        head = np.ones(n, bool)
+        head[1:] = shard[1:] != shard[:-1]
+        head[0] = self.shard != shard[0]
+        twin = np.zeros(n, bool)
+        twin[1:] = ~head[1:] & (doc[1:] == doc[:-1]) & (start[1:] == start[:-1])
+        twin[0] = not head[0] and self.last == (doc[0], start[0])
+        yield doc[settled | (~head & ~twin)], start[settled | (~head & ~twin)]
+        if not self.earlier:  # the first of several counts as well
+            group = np.cumsum(head)
+            more = np.bincount(group, (many == 1) | (~head & ~twin), int(group[-1]) + 1) > 0
+            if self.first is not None and more[0]:
+                yield np.array([self.first[0]]), np.array([self.first[1]])
+                self.first = None
+            heads = np.flatnonzero(head)
+            known = more[group[heads]] & ~settled[heads]
+            yield doc[heads[known]], start[heads[known]]
+            if len(heads):
+                at = heads[-1]
+                self.first = None if more[group[at]] or settled[at] else (doc[at], start[at])
+        self.shard, self.last = shard[-1], (doc[-1], start[-1])
+
+
+def by_shards(pieces: DataFrame, partitions: int, w: Windows, compare: Callable[..., tuple[np.ndarray, np.ndarray]], most: int = 1 << 20) -> DataFrame:
     """Apply ``compare(shard, doc, start, pieces)`` to whole shards, about ``most`` bytes at a time;
     it gives (piece number, window within the piece) of the windows that count. Pieces of a repeated
-    row (same place and content) are compared once."""
+    row (same place) are compared once. Rows without a piece are streamed."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
         size = 0
         last: tuple = ()
+        equal = _EqualWindows(w.earlier)
 
         def once(part: pa.RecordBatch) -> pa.RecordBatch:
             nonlocal last
             shard, doc, start = (part.column(k).to_numpy() for k in ("shard", "doc_id", "start"))
             same = np.zeros(len(shard), bool)
             same[1:] = (shard[1:] == shard[:-1]) & (doc[1:] == doc[:-1]) & (start[1:] == start[:-1])
-            same[0] = (shard[0], doc[0], start[0]) == last[:3]
-            piece = part.column("piece")
-            for i in np.flatnonzero(same).tolist():
-                same[i] = piece[i].as_py() == (piece[i - 1].as_py() if i else last[3])
-            last = (shard[-1], doc[-1], start[-1], piece[len(shard) - 1].as_py())
+            same[0] = (shard[0], doc[0], start[0]) == last
+            last = (shard[-1], doc[-1], start[-1])
             return part.filter(pa.array(~same)) if same.any() else part
 
         def flush(table: pa.Table) -> pa.RecordBatch:
             doc, start = (table.column(k).to_numpy() for k in ("doc_id", "start"))
             which, window = compare(table.column("shard").to_numpy(), doc, start, table.column("piece").to_pylist())
-            at = start[which].astype(np.int64) + window
+            return spans(doc[which], start[which] + window, which)
+
+        def spans(doc: np.ndarray, at: np.ndarray, which: np.ndarray) -> pa.RecordBatch:
             first = np.ones(len(which), bool)
             first[1:] = (which[1:] != which[:-1]) | (at[1:] != at[:-1] + 1)
             heads = np.flatnonzero(first)
-            return batch_of(SPAN, doc[which[heads]], at[heads].astype(np.int32), np.diff(np.append(heads, len(which))).astype(np.int32))
+            return batch_of(SPAN, doc[heads], at[heads], np.diff(np.append(heads, len(which))).astype(np.int32))
 
         for b in batches:
+            bare = b.column("piece").is_null().to_numpy(zero_copy_only=False)
+            if bare.any():
+                rows = b.filter(pa.array(bare))
+                for doc, at in equal.add(*(rows.column(k).to_numpy() for k in ("shard", "doc_id", "start", "many"))):
+                    yield spans(doc, at, doc)
+                b = b.filter(pa.array(~bare))
             for a in range(0, b.num_rows, 512):
                 part = once(b.slice(a, 512))
                 held.append(part)
@@ -325,13 +373,23 @@ def by_shards(pieces: DataFrame, partitions: int, compare: Callable[..., tuple[n
         if held:
             yield flush(pa.Table.from_batches(held))
 
-    return pieces.repartition(partitions, "shard").sortWithinPartitions("shard", "doc_id", "start", "piece").mapInArrow(run, SPAN_DDL)
+    return pieces.repartition(partitions, "shard").sortWithinPartitions("shard", "doc_id", "start").mapInArrow(run, SPAN_DDL)
+
+
+def place_of(start: str) -> Column:
+    """The position within the text."""
+    return F.col(start).bitwiseAND(F.lit((1 << 32) - 1)).cast("int")
+
+
+def hash_of(start: str) -> Column:
+    """The bits of the text's hash that stand above the position."""
+    return F.shiftright(start, 32).cast("int")
 
 
 def spans_by_document(found: DataFrame, compared: DataFrame) -> DataFrame:
-    """(doc_id, spans): ranges of counted windows, of one document each."""
-    whole = found.where(F.col("kind") == REPEATED).select("doc_id", "start", "windows")
-    return whole.unionByName(compared).groupBy("doc_id").agg(F.collect_list(F.struct("start", "windows")).alias("spans"))
+    """(doc_id, th, spans): ranges of counted windows, of one document each."""
+    whole = found.where(F.col("kind") == REPEATED).select("doc_id", "start", "windows").unionByName(compared)
+    return whole.groupBy("doc_id", hash_of("start").alias("th")).agg(F.collect_list(F.struct(place_of("start").alias("start"), "windows")).alias("spans"))
 
 
 def row_key() -> Column:
@@ -341,9 +399,14 @@ def row_key() -> Column:
     return F.coalesce(F.col("doc_id").cast("long"), own)
 
 
+def row_hash() -> Column:
+    """31 bits of a hash of the text."""
+    return F.xxhash64("text").bitwiseAND(F.lit((1 << 31) - 1)).cast("int")
+
+
 def documents_of(documents: DataFrame) -> DataFrame:
-    """(doc_id, text, missing): with ``row_key`` as doc_id; missing: the doc_id is null."""
-    return documents.select(row_key().alias("doc_id"), "text", F.col("doc_id").isNull().alias("missing"))
+    """(doc_id, th, text, missing): with ``row_key`` as doc_id; missing: the doc_id is null."""
+    return documents.select(row_key().alias("doc_id"), row_hash().alias("th"), "text", F.col("doc_id").isNull().alias("missing"))
 
 
 def ids_of(batch: pa.RecordBatch) -> pa.Array:
@@ -352,14 +415,14 @@ def ids_of(batch: pa.RecordBatch) -> pa.Array:
 
 
 def find(documents: DataFrame, w: Windows, compare: Callable, name: str, most: int = 1 << 20) -> DataFrame:
-    """(doc_id, missing, packed, spans) of every document: its text and the ranges of windows that count."""
+    """(doc_id, missing, th, packed, spans) of every document: its text and the ranges of windows that count."""
     spark = documents.sparkSession
     partitions = shuffle_partitions(spark)
     docs = documents_of(documents)
     found = materialize(decide(scan(docs.drop("missing"), w), w, partitions), name)
     packed = pack(docs)
-    compared = by_shards(fetch(packed, found, w), partitions, compare, most)
-    return packed.join(spans_by_document(found, compared), "doc_id", "left")
+    compared = by_shards(fetch(packed, found, w), partitions, w, compare, most)
+    return packed.join(spans_by_document(found, compared), ["doc_id", "th"], "left")
 
 
 def covered(spans: pa.ListScalar, length: int, n: int) -> np.ndarray | None:

@@ -10,12 +10,13 @@ backward search over their wavelet matrices gives matching statistics of the seg
 through them: windows whose match reaches the threshold and whose earliest occurrence is before
 their own start.
 
-Cases: null and empty texts have no words; texts shorter than a window keep everything; a row
-repeated as it is (same doc_id and text) counts once and every copy of the row gets that result;
+Cases: null and empty texts have no words; texts shorter than a window keep everything; a very long
+text is scanned like any other, its segments going to as many shards; an empty table gives no row; a
+row repeated as it is (same doc_id and text) counts once and every copy of the row gets that result;
+rows that share a doc_id but not the text are documents of their own, ordered by a hash of the text;
 equal texts under different doc_ids lose all but the first; rows with a null doc_id are documents of
-their own, told apart by a hash of the text, sort before others in its order (doc_ids below -2**62
-may be among them) and read back as null; extra columns are ignored. doc_id should otherwise tell
-texts apart: rows that share one have their places mixed.
+their own, told apart by a hash of the text, sort before others (doc_ids below -2**62 may be among
+them) and read back as null; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -41,7 +42,7 @@ def word_hashes(block: Block) -> tuple[np.ndarray, np.ndarray]:
     return span_hash(prefix_hash(byte_values(block.data)), starts, ends), first
 
 
-WORDS = Windows(length=WINDOW, gram=5, step=4, earlier=True, symbols=word_hashes, value=lambda words: words)
+WORDS = Windows(length=WINDOW, gram=5, earlier=True, symbols=word_hashes, value=lambda words: words)
 
 
 def compare(shard: np.ndarray, doc: np.ndarray, start: np.ndarray, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:

@@ -7,11 +7,12 @@ Content anchors (see ``anchors``) route every window to a shard; whole segments
 settled by their hash on the way. The rest goes, shard by shard and batch by batch, into a family
 of suffix arrays (see ``suffix_levels``).
 
-Cases: null and empty texts have no bytes; texts shorter than a window keep everything; a row
-repeated as it is (same doc_id and text) counts once and every copy of the row gets that result;
-equal texts under different doc_ids lose every byte from ``WINDOW`` bytes on; rows with a null doc_id
-are documents of their own, told apart by a hash of the text, and read back as null; extra columns are kept by ``rewrite`` and ignored otherwise. doc_id should otherwise
-tell texts apart: rows that share one have their places mixed.
+Cases: null and empty texts have no bytes; texts shorter than a window keep everything; a very long
+text is scanned like any other, its segments going to as many shards; an empty table gives no row; a
+row repeated as it is (same doc_id and text) counts once and every copy of the row gets that result;
+rows that share a doc_id but not the text, and rows with a null doc_id, are documents of their own,
+told apart by a hash of the text; equal texts under different doc_ids lose every byte from ``WINDOW``
+bytes on; extra columns are kept by ``rewrite`` and ignored otherwise.
 """
 
 from __future__ import annotations
@@ -25,8 +26,8 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .anchors import Windows, covered, find, ids_of, row_key
-from .common import batch_of
+from .anchors import Windows, covered, find, ids_of, row_hash, row_key
+from .common import batch_of, quoted
 from .suffix_levels import SuffixFamily
 from .textblocks import Block, byte_values
 
@@ -39,7 +40,7 @@ def raw_bytes(block: Block) -> tuple[np.ndarray, np.ndarray]:
     return block.data, block.offsets
 
 
-BYTES = Windows(length=WINDOW, gram=40, step=16, earlier=False, symbols=raw_bytes, value=byte_values)
+BYTES = Windows(length=WINDOW, gram=40, earlier=False, symbols=raw_bytes, value=byte_values)
 
 
 def compare(shard: np.ndarray, doc: np.ndarray, start: np.ndarray, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -76,7 +77,10 @@ def digest(documents: DataFrame) -> DataFrame:
 
 
 def _cut(hashed: bool, keyed: bool = False):
-    schema = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string()) if hashed else ("kept", pa.binary())])
+    """keyed: the row's key (doc_id, th) in place of the doc_id, and the bytes as text."""
+    key = [("doc_id", pa.int64()), ("th", pa.int32())] if keyed else [("doc_id", pa.int64())]
+    kept_type = pa.binary() if not (hashed or keyed) else pa.string()
+    schema = pa.schema([*key, ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256" if hashed else "kept", kept_type)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         expand = zstandard.ZstdDecompressor()
@@ -93,8 +97,8 @@ def _cut(hashed: bool, keyed: bool = False):
                     removed.append(int(gone.sum()))
                     spans.append(int(gone[0]) + int((gone[1:] & ~gone[:-1]).sum()))
                     raw = np.frombuffer(raw, np.uint8)[~gone].tobytes()
-                kept.append(hashlib.sha256(raw).hexdigest() if hashed else raw)
-            yield batch_of(schema, b.column("doc_id") if keyed else ids_of(b), n, removed, spans, kept)
+                kept.append(hashlib.sha256(raw).hexdigest() if hashed else raw.decode("utf-8", errors="ignore") if keyed else raw)
+            yield batch_of(schema, *((b.column("doc_id"), b.column("th")) if keyed else (ids_of(b),)), n, removed, spans, kept)
 
     return run
 
@@ -102,16 +106,11 @@ def _cut(hashed: bool, keyed: bool = False):
 def rewrite(documents: DataFrame) -> DataFrame:
     """``documents`` with the bytes left as text (what is left of a character cut apart goes too),
     and n_chars, where there is such a column, counted anew; other columns are kept."""
-
-    def decoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = pa.schema([("doc_id", pa.int64()), ("kept", pa.string())])
-        for b in batches:
-            yield batch_of(schema, b.column("doc_id"), [x.decode("utf-8", errors="ignore") for x in b.column("kept").to_pylist()])
-
-    cut = _found(documents).mapInArrow(_cut(False, keyed=True), KEPT_DDL)
-    left = cut.mapInArrow(decoded, "doc_id long, kept string").dropDuplicates(["doc_id"]).select(F.col("doc_id").alias("gristmill kept id"), F.col("kept").alias("gristmill kept text"))
-    rest = documents.withColumn("gristmill id", row_key()).drop("text")
-    out = rest.join(left, F.col("gristmill id") == F.col("gristmill kept id")).withColumn("text", F.col("gristmill kept text"))
+    cut = _found(documents).mapInArrow(_cut(False, keyed=True), "doc_id long, th int, n_bytes long, n_removed long, n_spans long, kept string")
+    id_, th, text = "gristmill id", "gristmill th", "gristmill text"
+    # a repeated row has the same key, and the same text left
+    left = cut.select(F.col("doc_id").alias(id_), F.col("th").alias(th), F.col("kept").alias(text)).dropDuplicates([id_, th])
+    out = documents.withColumn(id_, row_key()).withColumn(th, row_hash()).drop("text").join(left, [id_, th]).withColumnRenamed(text, "text")
     if "n_chars" in documents.columns:
         out = out.withColumn("n_chars", F.length("text").cast(documents.schema["n_chars"].dataType))
-    return out.select(*documents.columns)
+    return out.select(*quoted(documents))

@@ -79,14 +79,49 @@ def test_rows_without_ids_are_told_apart(spark):
     right(substring_dedup.remove_repeats(frame(spark, rows), digest=True), brute.substring(named), tuple)
     right(suffix_dedup.remove_repeats(frame(spark, rows)), brute.suffix(named), lambda r: (r.doc_id, r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)))
     shown = {k: (n, None if c in keys.values() else c, kept) for k, (n, c, kept) in brute.near(named).items()}
+    shown |= {keys[same]: (76, 1, False), 1: (76, 1, True)}  # rows without a doc_id sort last
     right(minhash.near_duplicates(frame(spark, rows)), shown, tuple)
     left = [(r.doc_id, r.text) for r in minhash.clean(frame(spark, rows)).collect()]
-    assert sorted(left, key=repr) == sorted(((k, x) for k, x in {*rows} if (k, x) != (1, same)), key=repr)
+    assert sorted(left, key=repr) == sorted(((k, x) for k, x in {*rows} if (k, x) != (None, same)), key=repr)
     cut = brute.suffix(named)
     rewritten = suffix_dedup.rewrite(frame(spark, rows)).collect()
     assert sorted((repr(r.doc_id), r.text) for r in rewritten) == sorted((repr(k), cut[n][3].decode("utf-8", errors="ignore")) for (k, _), (n, _) in zip(rows, named, strict=True))
 
 
+def test_rows_that_share_an_id_are_told_apart(spark):
+    rnd = random.Random(15)
+    fresh = lambda n: " ".join(f"{rnd.choice('abcdef')}{rnd.randint(0, 10**6)}" for _ in range(n))
+    passage, copied = fresh(50), fresh(90)
+    rows = [(5, f"{fresh(30)} {passage} {fresh(40)}"), (5, fresh(100)), (5, f"{passage} {fresh(10)}"), (5, copied), (6, copied), (6, fresh(70)), (7, "")]
+    by_key = dict(enumerate(sorted(rows, key=lambda r: r[0])))  # the operators order rows of one id by a hash
+    frame_ = frame(spark, rows)
+    cut = brute.suffix([(k, x) for k, (_, x) in by_key.items()])
+    found = sorted((r.doc_id, bytes(r.kept)) for r in suffix_dedup.remove_repeats(frame_).collect())
+    assert found == sorted((by_key[k][0], v[3]) for k, v in cut.items())
+    rewritten = sorted((r.doc_id, r.text) for r in suffix_dedup.rewrite(frame_).collect())
+    assert rewritten == [(k, x.decode()) for k, x in found]
+    removed = {r.doc_id: 0 for r in frame_.collect()}
+    for r in substring_dedup.remove_repeats(frame_).collect():
+        removed[r.doc_id] += r.n_removed
+    assert removed == {5: 50, 6: 90, 7: 0}
+    assert sorted((r.doc_id, r.text) for r in minhash.clean(frame_).collect()) == sorted(r for r in rows if r != (6, copied))
+
+
+@pytest.mark.parametrize("common", [18, 19])
+def test_a_common_run_below_the_threshold(spark, monkeypatch, common):
+    """Many documents share a run just too short to count: nothing goes, and no shard holds them all."""
+    monkeypatch.setattr(anchors, "HOT_CLASSES", 20)
+    rnd = random.Random(16)
+    fresh = lambda n: " ".join(f"{rnd.choice('abcdef')}{rnd.randint(0, 10**6)}" for _ in range(n))
+    run = fresh(common)
+    rows = [(i, f"{fresh(12)} {run} {fresh(12)}") for i in range(300)]
+    docs = anchors.documents_of(frame(spark, rows))
+    w = substring_dedup.WORDS
+    found = anchors.decide(anchors.scan(docs.drop("missing"), w), w, 4).cache()
+    assert anchors.fetch(anchors.pack(docs), found, w).where("piece is not null").groupBy("shard").count().where("count > 20").isEmpty()
+    assert {r.n_removed for r in substring_dedup.remove_repeats(frame(spark, rows)).collect()} == {0}
+
+
 def test_rewritten_texts_keep_columns(spark, rows):
     docs = frame(spark, rows).selectExpr("doc_id", "kept", "text", "cast(length(text) as long) as n_chars")
     out = suffix_dedup.rewrite(docs)
@@ -96,7 +131,8 @@ def test_rewritten_texts_keep_columns(spark, rows):
         assert r.text == want[r.doc_id][3].decode("utf-8", errors="ignore") and r.n_chars == len(r.text) and r.kept == "x"
 
 
-def test_near_duplicates(spark):
+@pytest.mark.parametrize("small_cells", [False, True])
+def test_near_duplicates(spark, monkeypatch, small_cells):
     rnd = random.Random(4)
     base = [[f"{rnd.choice('abcdefgh')}{rnd.randint(0, 40)}" for _ in range(rnd.randint(40, 150))] for _ in range(5)]
     rows = [(1, None), (2, ""), (3, "A b"), (4, "a  B"), (5, "b a"), (6, " \t"), (7, "one two three four five")]
@@ -107,6 +143,8 @@ def test_near_duplicates(spark):
         rows.append((100 + i, " ".join(w)))
     rows += [(100, rows[7][1]), (700, "é " * 20000)]
     want = brute.near(rows)
+    if small_cells:
+        monkeypatch.setattr(minhash, "CELL_ROWS", 3)
     found = minhash.near_duplicates(frame(spark, rows)).collect()
     assert len(found) == len(rows)
     for r in found:
