@@ -89,6 +89,26 @@ def quoted(df: DataFrame) -> list[Column]:
     return [F.col("`" + c.replace("`", "``") + "`") for c in df.columns]
 
 
+def keep_rows(df: DataFrame, keep: Callable[[Iterator[pa.Array]], Iterator[tuple[pa.Array, int, int]]]) -> DataFrame:
+    """The rows of ``df``, all columns kept, that ``keep`` marks. It is given the text column of each
+    batch and yields (mask, from, to) of slices of it. Columns may have any names."""
+    plain = df.toDF(*(f"c{i}" for i in range(len(df.columns))))
+    text = f"c{df.columns.index('text')}"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        current: list[pa.RecordBatch] = []
+
+        def texts() -> Iterator[pa.Array]:
+            for b in batches:
+                current[:] = [b]
+                yield b.column(text)
+
+        for mask, a, z in keep(texts()):
+            yield current[0].slice(a, z - a).filter(mask)
+
+    return plain.mapInArrow(run, plain.schema).toDF(*df.columns)
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 

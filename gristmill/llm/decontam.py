@@ -1,20 +1,26 @@
 """Benchmark decontamination with one Aho-Corasick automaton over normalised test items.
 
 Text and items are normalised alike: A-Z lower-cased, words are runs of ``0-9``, ``a-z`` and
-non-ASCII characters, joined by single blanks with one blank on either side. Every window of ten
-item words (a shorter item is one window) is a pattern `` w1 ... w10 ``; the automaton reads a
-normalised document once and reports all occurrences, overlapping ones too. Match ends map back to
-word numbers by the blanks before them, and word numbers to byte offsets of the original text.
+non-ASCII characters. Every window of ten item words (a shorter item is one window) is a pattern of
+word numbers; other words of a document have the number 0. The automaton reads the numbers of a
+document once and reports all occurrences, overlapping ones too; word positions map back to byte
+offsets of the original text. A worker builds the automaton once and keeps it for its next tasks.
 
 Cases: null or empty texts and texts without words give 0 words and no hit; null items and items
-without words never match; equal items are all reported; an empty benchmark leaves all documents
-clean; other columns are ignored. The patterns are broadcast: items are split into automata of at
-most ``automaton_bytes`` of text, and more than one automaton means more than one scan, each over a
-written table, so that memory stays that of one automaton.
+without words never match; equal items under several ids are all reported, and a repeated item row,
+or an id of several texts, is listed once; an item whose id is null is found like others but has no
+id to list or count; very long texts are read in parts that overlap by a window; repeated documents
+give a row each, with a null doc_id too; an empty table gives no row, and an empty benchmark leaves
+all documents clean; other columns, whatever their names, are ignored or, by ``clean``, kept.
+
+The items are broadcast behind a check of their size: up to ``automaton_bytes`` of text they make one
+automaton and one scan. Beyond that they are dealt to several automata, each with a scan of its own
+over a written table, so that memory stays that of one automaton.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import ahocorasick
@@ -23,12 +29,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batch_of, materialize, release
+from .common import batch_of, hold, keep_rows, materialize
 from .textblocks import block_of, runs, table_of
 
 WINDOW = 10
-#: Text of one automaton. Each word begins a pattern of its own, so memory is some hundred times this.
-AUTOMATON_BYTES = 256 << 10
+#: Item text of one automaton. Each word begins a pattern of its own, so memory is some 220 times this.
+AUTOMATON_BYTES = 1 << 20
+#: Documents are read in parts of about so many bytes.
+PART = 4 << 20
 _WORD = bytes([*range(48, 58), *range(97, 123), *range(128, 256)])
 _NORMAL = bytes(c + 32 if 65 <= c <= 90 else c if c in _WORD else 32 for c in range(256))
 _NOT_WORD = ~table_of(_WORD + bytes(range(65, 91)))
@@ -44,44 +52,73 @@ def words_of(text: str | bytes | None) -> list[bytes]:
     return (text.encode() if isinstance(text, str) else text).translate(_NORMAL).split()
 
 
-def build(items: list[tuple[str, str | None]], window: int = WINDOW):
-    """The automaton over all windows, or None without any; values are (words, item numbers)."""
-    patterns: dict[str, tuple[int, set[int]]] = {}
-    for k, (_, text) in enumerate(items):
-        words = words_of(text)
-        size = min(window, len(words))
-        for i in range(len(words) - size + 1) if size else ():
-            patterns.setdefault(" " + b" ".join(words[i : i + size]).decode("latin-1") + " ", (size, set()))[1].add(k)
-    if not patterns:
-        return None
-    machine = ahocorasick.Automaton()
-    for p, (size, who) in patterns.items():
-        machine.add_word(p, (size, tuple(who)))
-    machine.make_automaton()
-    return machine
-
-
-def scan(machine, names: list[str], text: bytes):
-    """(number of words, merged hit word ranges, items) of one document."""
-    words = text.translate(_NORMAL).split()
-    if not words or machine is None:
-        return len(words), [], []
-    line = " " + b" ".join(words).decode("latin-1") + " "
-    found = list(machine.iter(line))
-    if not found:
-        return len(words), [], []
-    who: set[int] = set()
-    spans: list[list[int]] = []
-    at = blanks = 0
-    for end, (size, items) in found:  # ends ascend
-        who.update(items)
-        blanks += line.count(" ", at, end)  # blanks before the closing one: that many words end here
-        at = end
-        first = blanks - size
-        while spans and first <= spans[-1][1]:  # a longer pattern may reach back over several spans
-            first = min(first, spans.pop()[0])
-        spans.append([first, blanks])
-    return len(words), spans, sorted(names[k] for k in who)
+class Patterns:
+    """The automaton over all windows of (item id, text) rows. It reads words as numbers of ``width``
+    digits to the base 32; a first digit is never a later one, so matches begin and end with words.
+    A pattern is known by a number: ``sizes`` and ``names`` have its words and the item ids it stands for."""
+
+    def __init__(self, items: list[tuple[str | None, str | None]], window: int = WINDOW):
+        texts = [(name, words_of(text)) for name, text in items]
+        words = list(dict.fromkeys(w for _, x in texts for w in x))
+        self.width = 1
+        while 32**self.width <= len(words):
+            self.width += 1
+        self.codes = {w: self._digits(k) for k, w in enumerate(words, 1)}
+        self.other = self._digits(0)
+        self.window, self.sizes, self.names = window, [], []
+        found: dict[str, int] = {}
+        for name, text in texts:
+            size = min(window, len(text))
+            line = "".join([self.codes[w] for w in text])
+            for i in range(len(text) - size + 1) if size else ():
+                k = found.setdefault(line[i * self.width : (i + size) * self.width], len(found))
+                if k == len(self.sizes):
+                    self.sizes.append(size)
+                    self.names.append(set())
+                if name is not None:
+                    self.names[k].add(name)
+        self.machine = ahocorasick.Automaton(ahocorasick.STORE_INTS)
+        for pattern, k in found.items():
+            self.machine.add_word(pattern, k)
+        if found:
+            self.machine.make_automaton()
+
+    def _digits(self, k: int) -> str:
+        digits = [k >> 5 * j & 31 for j in range(self.width)]
+        return "".join(chr(64 + d if j else 32 + d) for j, d in enumerate(digits))
+
+    def scan(self, text: bytes) -> tuple[int, list[list[int]], list[str]]:
+        """(number of words, merged hit word ranges, item ids in order) of one document."""
+        line, code, other = text.translate(_NORMAL), self.codes.get, self.other
+        count, spans, who, before = 0, [], set(), ""
+        for part in parts(line):
+            words = part.split()
+            if self.sizes:
+                own = before + "".join([code(w, other) for w in words])
+                first = count - len(before) // self.width
+                for end, k in self.machine.iter(own):  # ends ascend
+                    who |= self.names[k]
+                    stop = first + (end + 1) // self.width
+                    start = stop - self.sizes[k]
+                    while spans and start <= spans[-1][1]:  # a longer pattern may reach back over several spans
+                        last = spans.pop()
+                        start, stop = min(start, last[0]), max(stop, last[1])
+                    spans.append([start, stop])
+                before = own[len(own) - (self.window - 1) * self.width :] if len(own) > (self.window - 1) * self.width else own
+            count += len(words)
+        return count, spans, sorted(who)
+
+
+def parts(line: bytes) -> Iterator[bytes]:
+    """A normalised text in parts, cut at blanks."""
+    at = 0
+    while len(line) - at > PART:
+        cut = line.find(b" ", at + PART)
+        if cut < 0:
+            break
+        yield line[at:cut]
+        at = cut
+    yield line[at:] if at else line
 
 
 def find_contamination(documents: DataFrame, benchmark: DataFrame, window: int = WINDOW, automaton_bytes: int = AUTOMATON_BYTES) -> DataFrame:
@@ -98,33 +135,38 @@ def find_contamination(documents: DataFrame, benchmark: DataFrame, window: int =
 
 
 def _automata(benchmark: DataFrame, automaton_bytes: int) -> list:
-    """Broadcast items, at most about ``automaton_bytes`` of text in each; at least one list."""
+    """Broadcast items under a key of their own, at most about ``automaton_bytes`` of text in each;
+    at least one list."""
     spark = benchmark.sparkSession
-    benchmark = benchmark.where(F.col("text").isNotNull()).select(F.col("item_id").cast("string").alias("item_id"), "text")
-    total = benchmark.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).head()[0]
-    parts = max(1, -(-int(total) // automaton_bytes))
+    items = benchmark.where(F.col("text").isNotNull()).select(F.col("item_id").cast("string").alias("item_id"), "text").distinct()
+    total = items.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).head()[0]
+    count = max(1, -(-int(total) // automaton_bytes))
     out = []
-    for p in range(parts):
-        own = benchmark if parts == 1 else benchmark.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(parts)) == p)
-        out.append(spark.sparkContext.broadcast([(r[0], r[1]) for r in own.collect()]))  # within the bound
+    for p in range(count):
+        own = items if count == 1 else items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(count)) == p)
+        out.append((uuid.uuid4().hex, spark.sparkContext.broadcast([tuple(r) for r in own.collect()])))  # within the bound
     return out
 
 
-def _scanner(shared, window: int, first: bool, last: bool):
+def _held(shared: tuple, window: int) -> Patterns:
+    """The worker's automaton of these items."""
+    return hold(("decontam", shared[0], window), lambda: Patterns(shared[1].value, window))
+
+
+def _scanner(shared: tuple, window: int, first: bool, last: bool):
     """One scan; a later scan adds to what the earlier ones found."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        release()
-        machine, names = build(shared.value, window), [k for k, _ in shared.value]
+        patterns = _held(shared, window)
         for b in batches:
             block = block_of(b.column("text"))
             before = [[]] * len(block) if first else b.column("items").to_pylist()
             ranges = [[]] * len(block) if first else [[[s["start_word"], s["end_word"]] for s in x] for x in b.column("spans").to_pylist()]
             n, hit, who, where = [], [], [], []
             for i in range(len(block)):
-                count, spans, items = scan(machine, names, block.doc(i))
+                count, spans, items = patterns.scan(block.doc(i))
                 if ranges[i]:
-                    spans, items = merge_ranges(ranges[i] + spans), sorted(before[i] + items)
+                    spans, items = merge_ranges(ranges[i] + spans), sorted({*before[i], *items})
                 n.append(count)
                 hit.append(sum(e - s for s, e in spans))
                 who.append(items)
@@ -155,14 +197,13 @@ def clean(documents: DataFrame, benchmark: DataFrame, window: int = WINDOW, auto
     automata = _automata(benchmark, automaton_bytes)
     for shared in automata:
 
-        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            release()
-            machine, names = build(shared.value, window), [k for k, _ in shared.value]
-            for b in batches:
-                block = block_of(b.column("text"))
-                yield b.filter(pa.array([not scan(machine, names, block.doc(i))[1] for i in range(len(block))], pa.bool_()))
+        def keep(texts: Iterator[pa.Array], shared=shared) -> Iterator[tuple[pa.Array, int, int]]:
+            patterns = _held(shared, window)
+            for column in texts:
+                block = block_of(column)
+                yield pa.array([not patterns.scan(block.doc(i))[1] for i in range(len(block))], pa.bool_()), 0, len(block)
 
-        documents = documents.mapInArrow(run, documents.schema)
+        documents = keep_rows(documents, keep)
         if shared is not automata[-1]:
             documents = materialize(documents, "scan")
     return documents

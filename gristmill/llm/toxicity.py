@@ -16,7 +16,7 @@ rows are 1, or 2 where at least ``severe_words`` of the words that set toxic row
 
 Cases: null or empty texts score the base rate of an empty feature vector; without labelled rows,
 or with one grade only, severity is that grade (0 without rows) for all; null labels are ignored;
-several labels of one document count as rows of their own; extra columns are kept by ``filter``.
+several labels of one document count as rows of their own; extra columns are kept by ``clean``.
 """
 
 from __future__ import annotations
@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batch_of, release
+from .common import batch_of, keep_rows, release
 from .textblocks import Block, block_of, byte_values, lower_ascii, prefix_hash, row_slices_of, runs, span_hash, table_of
 
 MAX_ROWS = 12_000
@@ -212,12 +212,11 @@ def clean(documents: DataFrame, model: OrdinalModel, cut: float = 0.5) -> DataFr
     filter in one pass, without a join back."""
     shared = documents.sparkSession.sparkContext.broadcast(model)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def keep(texts: Iterator[pa.Array]) -> Iterator[tuple[pa.Array, int, int]]:
         release()
-        for b in batches:
-            block = block_of(b.column("text"))
+        for column in texts:
+            block = block_of(column)
             for a, z in row_slices_of(block, 1 << 20):
-                severity = shared.value.severity(_scores(block.slice(a, z), shared.value))
-                yield b.slice(a, z - a).filter(pa.array(severity < cut))
+                yield pa.array(shared.value.severity(_scores(block.slice(a, z), shared.value)) < cut), a, z
 
-    return documents.mapInArrow(run, documents.schema)
+    return keep_rows(documents, keep)

@@ -90,14 +90,14 @@ def contamination(rows, items):
         w = WORD.findall(lower(x or ""))
         n = min(10, len(w))
         for i in range(len(w) - n + 1) if n else ():
-            patterns[tuple(w[i : i + n])].add(str(k))
+            patterns[tuple(w[i : i + n])] |= set() if k is None else {str(k)}
     out = {}
     for k, x in rows:
         w = WORD.findall(lower(x or ""))
         hit, who = set(), set()
         for n in {len(p) for p in patterns}:
             for i in range(len(w) - n + 1):
-                if found := patterns.get(tuple(w[i : i + n])):
+                if (found := patterns.get(tuple(w[i : i + n]))) is not None:
                     hit |= set(range(i, i + n))
                     who |= found
         out[k] = (len(w), len(hit), len(who), hashlib.sha256(",".join(sorted(who)).encode()).hexdigest(), bool(hit))

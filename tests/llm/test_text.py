@@ -73,15 +73,20 @@ def test_empty_tables(spark, operator):
 
 
 @pytest.mark.parametrize("parts", [1 << 25, 60])
-def test_contamination(spark, parts):
+def test_contamination(spark, parts, monkeypatch):
+    if parts > 60:
+        monkeypatch.setattr(decontam, "PART", 50)
     rnd = random.Random(5)
     vocabulary = ["Alpha", "beta", "GAMMA", "delta9", "é", "42", "zeta"]
     items = [(1, " ".join(rnd.choice(vocabulary) for _ in range(14))), (2, "beta, beta; BETA"), (10, None), (11, ""), (12, "...")]
+    items += [items[0], (3, items[0][1]), (2, "alpha gamma"), (None, "delta9 zeta"), (None, "beta beta beta")]
     rows = [(i, rnd.choice(["", "-", "x "]).join(rnd.choice(vocabulary) + rnd.choice([" ", ", ", "\n"]) for _ in range(rnd.randint(0, 40)))) for i in range(60)]
     rows += [(100, f"start {items[0][1].lower()} end"), (101, None), (102, "beta-beta.beta/beta"), (103, "BETA BETA BETA")]
-    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    rows += [(104, " ".join(rnd.choice(vocabulary) for _ in range(4000))), rows[3], rows[61]]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "'x' as items", "1 as spans", "2 as `a.b`")
     bench = spark.createDataFrame(items, "item_id long, text string")
     found = decontam.find_contamination(docs, bench, automaton_bytes=parts)
+    assert found.count() == len(rows)
     want = brute.contamination(rows, items)
     for r in decontam.digest(found).collect():
         assert tuple(r)[1:] == want[r.doc_id], r.doc_id
@@ -89,6 +94,8 @@ def test_contamination(spark, parts):
         raw = (dict(rows)[r.doc_id] or "").encode()
         for s in r.spans:
             assert len(decontam.words_of(raw[s.start_byte : s.end_byte])) == s.end_word - s.start_word
-    kept = {r.doc_id for r in decontam.clean(docs, bench, automaton_bytes=parts).collect()}
+    left = decontam.clean(docs, bench, automaton_bytes=parts)
+    kept = {r.doc_id for r in left.collect()}
+    assert left.columns == docs.columns and decontam.find_contamination(docs.limit(0), bench).count() == 0
     assert kept == {k for k, w in want.items() if not w[4]}
     assert decontam.digest(decontam.find_contamination(docs, bench.limit(0))).where("contaminated").count() == 0
