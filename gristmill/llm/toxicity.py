@@ -1,22 +1,27 @@
 """Toxicity severity by cumulative-link (proportional-odds) ordinal regression.
 
 Grades 0 .. K-1 are ordered. One weight vector over sparse word features serves all thresholds:
-P(grade > k) = sigmoid(x.w - theta_k) with theta ascending; the expected severity is the sum of
-these probabilities over k. Features are the distinct words of a text (runs of letters and digits,
-A-Z lower-cased), keyed by a 64-bit hash, no bucket shared. Words of two rows or more whose share of toxic rows is
-off by two standard errors take part, whatever the number of labelled rows; an L1 penalty selects
-among them, so the model is a small table.
-
-The model is fitted on a bounded sample of labelled rows (``max_rows``, the smallest hashes of
-doc_id, independent of file order); ids are chosen first and only their texts are read back.
-Scoring covers every document and whole texts.
-
-The public labels are 0 or 1. ``severity_grades`` turns them into three grades: 0 not toxic; toxic
-rows are 1, or 2 where at least ``severe_words`` of the words that set toxic rows apart occur.
-
-Cases: null or empty texts score the base rate of an empty feature vector; without labelled rows,
-or with one grade only, severity is that grade (0 without rows) for all; null labels are ignored;
-several labels of one document count as rows of their own; extra columns are kept by ``clean``.
+P(grade > k) = sigmoid(x.w - theta_k) with theta ascending, fitted by the likelihood of the grades,
+P(grade = k) = P(grade > k-1) - P(grade > k); the expected severity is the sum of P(grade > k) over
+k. Features are the distinct words of a text (runs of letters and digits, A-Z lower-cased), keyed by
+a 64-bit hash, no bucket shared. Words of two rows or more whose share of rows above grade 0 is off
+by two standard errors take part, whatever the number of labelled rows; an L1 penalty selects among
+them, so the model is a small table.
+
+Grades are the labels as they are given, negative ones counting as 0; of a column with the values 0
+and 1 there are two grades and one threshold.
+
+The model is fitted on a bounded sample of labelled rows: those of at most ``max_rows`` labels (the
+smallest hashes of doc_id, independent of file order), copies counted once, and at most ``max_words``
+words, those furthest off. Words are counted and chosen on the executors; the driver gets the chosen
+words of each row. Scoring covers every document and whole texts.
+
+Cases: null or empty texts score the base rate of an empty feature vector; very long texts are a row
+like others, of their distinct words; without labelled rows, or with one grade only, severity is that
+grade (0 without rows) for all; null labels and labels without a doc_id are ignored; several labels
+of one document count as rows of their own; words equally far off are taken by their hash; repeated
+rows and rows with a null doc_id are scored like others; an empty table gives no row; extra columns
+are ignored by ``score`` and kept by ``clean``, whatever their names.
 """
 
 from __future__ import annotations
@@ -29,10 +34,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batch_of, keep_rows, release
+from .common import batch_of, keep_rows, materialize, release
 from .textblocks import Block, block_of, byte_values, lower_ascii, prefix_hash, row_slices_of, runs, span_hash, table_of
 
-MAX_ROWS = 12_000
+MAX_ROWS, MAX_WORDS = 12_000, 50_000
+#: Words of a row whose hashes, if equal, make two rows copies of each other.
+SKETCH = 3
 _NOT_WORD = ~table_of(bytes([*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]))
 
 
@@ -70,87 +77,60 @@ def _sigmoid(z: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(z, -500, 500)))
 
 
-def one_of_each(doc: np.ndarray, key: np.ndarray, rows: int, sketch: int = 3) -> np.ndarray:
-    """Rows to keep so that copies and near copies (equal smallest word hashes) count once."""
-    first = np.searchsorted(doc, np.arange(rows))
-    size = np.diff(np.append(first, len(doc)))
-    held = np.zeros((rows, sketch), np.uint64)
-    for j in range(sketch):  # keys ascend within a row
-        has = size > j
-        held[has, j] = key[first[has] + j]
-    return np.sort(np.unique(held, axis=0, return_index=True)[1])
-
-
-def telling(key: np.ndarray, on: np.ndarray, min_docs: int, least_z: float) -> np.ndarray:
-    """Pairs whose word occurs in at least ``min_docs`` rows and much more (or less) often in rows
-    above grade 0 than by chance, by a two-proportion z score."""
-    words, inverse, count = np.unique(key, return_inverse=True, return_counts=True)
-    p = on.mean() if len(on) else 0.0
-    seen = np.bincount(inverse, on, len(words))
-    z = (seen - count * p) / np.sqrt(np.maximum(1e-9, count * p * (1 - p)))
-    return ((np.abs(z) >= least_z) & (count >= min_docs))[inverse]
-
-
-def fit_rows(doc: np.ndarray, key: np.ndarray, grade: np.ndarray, min_docs: int = 2, least_z: float = 2.0, l1: float = 3e-4, steps: int = 300) -> OrdinalModel:
-    """Proximal gradient descent with momentum. The loss adds up the logistic losses of all
-    thresholds (the all-threshold form of the cumulative link): it is convex, and its thresholds
-    come out in order. Rows are given as distinct (row, word) pairs and a grade per row."""
-    k, n = int(grade.max(initial=0)) + 1, len(grade)
-    none = OrdinalModel(np.zeros(0, np.uint64), np.zeros(0), np.zeros(0))
-    if k < 2:
-        return none
-    if grade.min() == grade.max():  # every row has the highest grade
-        return OrdinalModel(none.keys, none.weights, np.full(k - 1, -500.0))
-    use = telling(key, (grade > 0)[doc], min_docs, least_z)
-    row = doc[use]
-    words, col = np.unique(key[use], return_inverse=True)
-    m = len(words)
-    weight = np.zeros(m)
+def fit_rows(row: np.ndarray, col: np.ndarray, words: int, grade: np.ndarray, l1: float = 3e-4, steps: int = 300) -> tuple[np.ndarray, np.ndarray]:
+    """(weights, thresholds) of the largest penalised likelihood, by proximal gradient steps with
+    momentum and a step size found by backtracking. Rows are given as distinct (row, word) pairs and
+    a grade per row. The negative logarithm of the likelihood is convex in weights and thresholds;
+    gaps between thresholds are kept as logarithms, so they stay in order."""
+    n, k = len(grade), int(grade.max()) + 1
     share = np.clip([(grade > j).mean() for j in range(k - 1)], 1e-3, 1 - 1e-3)
     theta = np.log((1 - share) / share)
-    held_w, held_t, momentum = weight.copy(), theta.copy(), 1.0
-    above = (grade[:, None] > np.arange(k - 1)[None, :]).astype(float)
-    # a bound of the curvature: a quarter of the largest eigenvalue of mean x x', by power iteration
-    v = np.ones(m) / max(1, m) ** 0.5
-    size = 1.0
-    for _ in range(20 if m else 0):
-        u = np.bincount(col, np.bincount(row, v[col], n)[row], m) / n
-        size = float(np.linalg.norm(u)) or 1.0
-        v = u / size
-    rate = 3.0 / ((k - 1) * (size + 1))
+    x = np.concatenate([np.zeros(words), theta[:1], np.log(np.maximum(np.diff(theta), 1e-2))])
+
+    def thresholds(v: np.ndarray) -> np.ndarray:
+        return np.cumsum(np.concatenate([v[words : words + 1], np.exp(np.clip(v[words + 1 :], -20, 20))]))
+
+    def loss(v: np.ndarray) -> tuple[float, np.ndarray]:
+        bounds = np.concatenate([[-np.inf], thresholds(v), [np.inf]])
+        score = np.bincount(row, v[col], n) if len(row) else np.zeros(n)
+        upper, lower = _sigmoid(score - bounds[grade]), _sigmoid(score - bounds[grade + 1])
+        gap = 1 - np.exp(bounds[grade] - bounds[grade + 1])
+        likely = np.maximum(upper * (1 - lower) * gap, 1e-300)  # upper - lower, without cancellation
+        by_score = (upper + lower - 1) / n
+        by_bound = np.bincount(grade, (1 - upper) / np.maximum((1 - lower) * gap, 1e-12), k) / n
+        by_bound[1:] -= np.bincount(grade + 1, lower / np.maximum(upper * gap, 1e-12), k + 1)[1:-1] / n
+        by_theta = np.cumsum(by_bound[:0:-1])[::-1]  # of each threshold with all above it
+        out = np.empty_like(v)
+        out[:words] = np.bincount(col, by_score[row], words) if len(row) else 0
+        out[words] = by_theta[0]
+        out[words + 1 :] = by_theta[1:] * np.exp(np.clip(v[words + 1 :], -20, 20))
+        return -float(np.log(likely).mean()), out
+
+    ahead, momentum, rate = x.copy(), 1.0, 1.0
     for _ in range(steps):
-        score = np.bincount(row, held_w[col], n) if m else np.zeros(n)
-        error = (_sigmoid(score[:, None] - held_t[None, :]) - above) / n
-        gw = np.bincount(col, error.sum(axis=1)[row], m) if m else np.zeros(0)
-        new_w = held_w - rate * gw
-        new_w = np.sign(new_w) * np.maximum(np.abs(new_w) - rate * l1, 0)
-        new_t = np.maximum.accumulate(held_t + rate * error.sum(axis=0))
-        ahead = (1 + (1 + 4 * momentum**2) ** 0.5) / 2
-        held_w = new_w + (momentum - 1) / ahead * (new_w - weight)
-        held_t = np.maximum.accumulate(new_t + (momentum - 1) / ahead * (new_t - theta))
-        weight, theta, momentum = new_w, new_t, ahead
-    live = weight != 0
-    return OrdinalModel(words[live], weight[live], theta)
-
-
-def severity_grades(doc: np.ndarray, key: np.ndarray, toxic: np.ndarray, severe_words: int = 3) -> np.ndarray:
-    """Grades 0, 1, 2 from labels 0 and 1: words set toxic rows apart if at least 20 toxic rows have
-    them and their share among toxic rows is ten times that among the others."""
-    n1, n0 = max(1, int((toxic > 0).sum())), max(1, int((toxic <= 0).sum()))
-    words, inverse = np.unique(key, return_inverse=True)
-    on = np.bincount(inverse, toxic[doc] > 0, len(words))
-    off = np.bincount(inverse, toxic[doc] <= 0, len(words))
-    apart = (on >= 20) & (on / n1 >= 10 * (off + 0.5) / n0)
-    seen = np.bincount(doc, apart[inverse], len(toxic))
-    return np.where(toxic <= 0, 0, np.where(seen >= severe_words, 2, 1)).astype(np.int64)
-
-
-def fit(documents: DataFrame, labels: DataFrame, label: str = "toxic", max_rows: int = MAX_ROWS) -> OrdinalModel:
-    """Fit on at most ``max_rows`` labelled rows of ``documents``."""
-    chosen = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("int").alias("y"))
+        value, slope = loss(ahead)
+        rate *= 1.5
+        while True:
+            new = ahead - rate * slope
+            new[:words] = np.sign(new[:words]) * np.maximum(np.abs(new[:words]) - rate * l1, 0)
+            step = new - ahead
+            if loss(new)[0] <= value + slope @ step + step @ step / (2 * rate) + 1e-12 or rate < 1e-9:
+                break
+            rate /= 2
+        if (ahead - new) @ (new - x) > 0:  # momentum points uphill
+            momentum = 1.0
+        following = (1 + (1 + 4 * momentum**2) ** 0.5) / 2
+        ahead, x, momentum = new + (momentum - 1) / following * (new - x), new, following
+    return x[:words], thresholds(x)
+
+
+def labelled_rows(documents: DataFrame, labels: DataFrame, label: str, max_rows: int) -> DataFrame:
+    """(keys, y): distinct word hashes and grade of the rows fitted on, one of each set of copies."""
+    chosen = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), F.greatest(F.col(label).cast("int"), F.lit(0)).alias("y"))
     chosen = chosen.orderBy(F.xxhash64("doc_id"), "doc_id", "y").limit(max_rows)
     # max_rows ids at most, so this side may be broadcast
     rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(chosen), "doc_id")
+    schema = pa.schema([("doc_id", pa.int64()), ("y", pa.int32()), ("keys", pa.list_(pa.int64()))])
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -158,25 +138,54 @@ def fit(documents: DataFrame, labels: DataFrame, label: str = "toxic", max_rows:
             for a, z in row_slices_of(block, 1 << 20):
                 doc, key = distinct_pairs(*word_features(block.slice(a, z)))
                 cuts = np.searchsorted(doc, np.arange(z - a + 1))
-                yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pa.array(key.view(np.int64))), b.column("y").slice(a, z - a)], names=["keys", "y"])
-
-    found = rows.mapInArrow(features, "keys array<long>, y int").toArrow()
-    if not found.num_rows:
-        return OrdinalModel(np.zeros(0, np.uint64), np.zeros(0), np.zeros(0))
-    lists = found.column("keys").combine_chunks()
-    cuts = lists.offsets.to_numpy()
-    key = lists.values.to_numpy()[cuts[0] : cuts[-1]].view(np.uint64)
-    doc = np.repeat(np.arange(len(lists)), np.diff(cuts))
-    toxic = found.column("y").to_numpy()
-    keep = one_of_each(doc, key, len(toxic))
-    number = np.full(len(toxic), -1)
-    number[keep] = np.arange(len(keep))
-    use = number[doc] >= 0
-    doc, key, toxic = number[doc[use]], key[use], toxic[keep]
-    del found, lists, use, number
-    pa.default_memory_pool().release_unused()
-    grade = severity_grades(doc, key, toxic) if set(np.unique(toxic)) <= {0, 1} else np.maximum(toxic, 0).astype(np.int64)
-    return fit_rows(doc, key, grade)
+                yield batch_of(schema, b.column("doc_id").slice(a, z - a), b.column("y").slice(a, z - a), pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pa.array(key.view(np.int64))))
+
+    found = rows.mapInArrow(features, "doc_id long, y int, keys array<long>").withColumn("sketch", F.slice("keys", 1, SKETCH))
+    place = F.struct(F.xxhash64("doc_id"), "doc_id", "y")
+    once = found.groupBy("sketch").agg(F.min_by(F.struct("keys", "y"), place).alias("row"), F.min(place).alias("place"))
+    return once.orderBy("place").limit(max_rows).select("row.keys", "row.y")
+
+
+def telling_words(rows: DataFrame, max_words: int, min_docs: int = 2, least_z: float = 2.0) -> np.ndarray:
+    """Hashes of the words that occur in at least ``min_docs`` rows and much more (or less) often in
+    rows above grade 0 than by chance, by a two-proportion z score; in ascending order."""
+    n, on = rows.agg(F.count(F.lit(1)), F.count_if(F.col("y") > 0)).head()
+    p = on / n
+    words = rows.select(F.explode("keys").alias("key"), (F.col("y") > 0).alias("on")).groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.count_if("on").alias("seen"))
+    off = F.abs(F.col("seen") - F.col("n") * p) / F.sqrt(F.greatest(F.lit(1e-9), F.col("n") * (p * (1 - p))))
+    far = words.where(F.col("n") >= min_docs).withColumn("z", off).where(F.col("z") >= least_z)
+    found = far.orderBy(F.desc("z"), "key").limit(max_words).select("key").toArrow()
+    return np.sort(found.column("key").to_numpy().view(np.uint64))
+
+
+def fit(documents: DataFrame, labels: DataFrame, label: str = "toxic", max_rows: int = MAX_ROWS, max_words: int = MAX_WORDS) -> OrdinalModel:
+    """Fit on the rows of at most ``max_rows`` labels, with at most ``max_words`` words."""
+    none = np.zeros(0, np.uint64)
+    rows = materialize(labelled_rows(documents, labels, label, max_rows), "labelled")
+    low, high = rows.agg(F.min("y"), F.max("y")).head()
+    if not high:
+        return OrdinalModel(none, np.zeros(0), np.zeros(0))
+    if low == high:  # every row has the highest grade
+        return OrdinalModel(none, np.zeros(0), np.full(high, -500.0))
+    words = telling_words(rows, max_words)
+    shared = rows.sparkSession.sparkContext.broadcast(words)  # max_words at most
+    schema = pa.schema([("y", pa.int32()), ("at", pa.list_(pa.int32()))])
+
+    def numbers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = shared.value
+        for b in batches:
+            lists = []
+            for keys in b.column("keys"):
+                own = keys.values.to_numpy().view(np.uint64)
+                lists.append(np.flatnonzero(np.isin(held, own, assume_unique=True)).astype(np.int32))
+            yield batch_of(schema, b.column("y"), lists)
+
+    found = rows.mapInArrow(numbers, "y int, at array<int>").toArrow()
+    lists = found.column("at").combine_chunks()
+    col, row = lists.flatten().to_numpy().astype(np.int64), np.repeat(np.arange(len(lists)), lists.value_lengths().to_numpy())
+    weights, thresholds = fit_rows(row, col, len(words), found.column("y").to_numpy().astype(np.int64))
+    live = weights != 0
+    return OrdinalModel(words[live], weights[live], thresholds)
 
 
 def _scores(block: Block, model: OrdinalModel) -> np.ndarray:
