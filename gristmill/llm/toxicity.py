@@ -40,6 +40,8 @@ from .textblocks import Block, block_of, byte_values, lower_ascii, prefix_hash,
 MAX_ROWS, MAX_WORDS = 12_000, 50_000
 #: Words of a row whose hashes, if equal, make two rows copies of each other.
 SKETCH = 3
+#: Least expected severity of a document that counts as toxic.
+CUT = 0.3
 _NOT_WORD = ~table_of(bytes([*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]))
 
 
@@ -77,7 +79,7 @@ def _sigmoid(z: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(z, -500, 500)))
 
 
-def fit_rows(row: np.ndarray, col: np.ndarray, words: int, grade: np.ndarray, l1: float = 3e-4, steps: int = 300) -> tuple[np.ndarray, np.ndarray]:
+def fit_rows(row: np.ndarray, col: np.ndarray, words: int, grade: np.ndarray, l1: float = 1e-4, steps: int = 300) -> tuple[np.ndarray, np.ndarray]:
     """(weights, thresholds) of the largest penalised likelihood, by proximal gradient steps with
     momentum and a step size found by backtracking. Rows are given as distinct (row, word) pairs and
     a grade per row. The negative logarithm of the likelihood is convex in weights and thresholds;
@@ -200,7 +202,7 @@ def _scores(block: Block, model: OrdinalModel) -> np.ndarray:
     return out
 
 
-def score(documents: DataFrame, model: OrdinalModel, cut: float = 0.5) -> DataFrame:
+def score(documents: DataFrame, model: OrdinalModel, cut: float = CUT) -> DataFrame:
     """(doc_id, severity, grade, toxic): expected severity, that rounded, and whether it reaches ``cut``."""
     shared = documents.sparkSession.sparkContext.broadcast(model)  # at most the words of max_rows texts
     schema = pa.schema([("doc_id", pa.int64()), ("severity", pa.float64()), ("grade", pa.int32()), ("toxic", pa.bool_())])
@@ -216,7 +218,7 @@ def score(documents: DataFrame, model: OrdinalModel, cut: float = 0.5) -> DataFr
     return documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, severity double, grade int, toxic boolean")
 
 
-def clean(documents: DataFrame, model: OrdinalModel, cut: float = 0.5) -> DataFrame:
+def clean(documents: DataFrame, model: OrdinalModel, cut: float = CUT) -> DataFrame:
     """The rows of ``documents`` whose expected severity stays below ``cut``, all columns kept; a
     filter in one pass, without a join back."""
     shared = documents.sparkSession.sparkContext.broadcast(model)
