@@ -3,16 +3,17 @@
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written as Parquet and read
 again as the next stage's docs. All but the last return the columns of ``documents``.
 
-1. toxicity: documents whose expected severity reaches 0.5 go.
-2. near duplicates: one document of each group stays, the one with the smallest doc_id (null first).
+1. toxicity: documents whose expected severity reaches the operator's cut go.
+2. near duplicates: one document of each group stays, the one with the smallest doc_id.
 3. repeated byte strings of 200 bytes are cut out; the text left replaces the text, and n_chars is
    counted anew.
 4. documents that contain a window of a benchmark item go.
 5. BPE: encoded and decoded digests of every document that is left.
 
-Rows whose doc_id is null are told apart by their texts; they are cleaned like others, and stage 2
-keeps one of equal ones. A row repeated as it is stays once. A document whose text is cut to nothing
-stays with an empty text. Extra columns are carried along by stages 1 to 4.
+Rows are told apart by doc_id and text: those that share a doc_id, or have none, are cleaned like
+others, and a row repeated as it is stays once. A document whose text is cut to nothing stays with an
+empty text. Extra columns, whatever their names, are carried along by stages 1 to 4. An empty table
+passes through; very long texts, ties and null texts are as the operators say.
 """
 
 from __future__ import annotations
