@@ -172,6 +172,34 @@ def test_nearest_neighbours(spark):
     assert hits >= 0.9 * 35 * 20 and {r.query_id for r in found} == set(range(0, 700, 20))
 
 
+def _uneven(kind):
+    rnd = np.random.default_rng(5)
+    if kind == "clusters":  # two so small that a query's neighbours lie in both, and others
+        x = [rnd.standard_normal(16) * 3 + rnd.standard_normal((n, 16)) * 0.05 for n in [13, 13] + [20] * 12 + [40] * 6]
+    elif kind == "norms":
+        x = [rnd.standard_normal((600, 16)) * np.exp(1.5 * rnd.standard_normal((600, 1)))]
+    else:
+        x = [np.ones((300, 16)), rnd.standard_normal((200, 16))]
+    x = np.vstack(x)
+    return x[rnd.permutation(len(x))]
+
+
+@pytest.mark.parametrize("kind,rounds", [("clusters", 8), ("norms", 8), ("copies", 8), ("norms", 0)])
+def test_neighbours_of_uneven_vectors(spark, kind, rounds):
+    """Every query has 20 rows, and recall holds; without any round of search by the scan."""
+    x = _uneven(kind)
+    rows = nn_descent.valid_vectors(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")).cache()
+    found = nn_descent.search(rows, nn_descent.build_graph(rows), rows.where("id % 20 = 0"), rounds=rounds).collect()
+    hits, queries = 0, range(0, len(x), 20)
+    for q in queries:
+        own = [r for r in found if r.query_id == q]
+        score = x @ x[q]
+        score[q] = -np.inf
+        assert sorted(r["rank"] for r in own) == list(range(1, 21)) and len({r.vec_id for r in own}) == 20
+        hits += sum(r.score >= np.sort(score)[-20] - 1e-9 for r in own)
+    assert hits >= (0.9 if rounds else 1.0) * 20 * len(queries)
+
+
 def test_few_or_no_vectors(spark):
     rows = [(0, [1.0, 0.0]), (20, [0.0, 2.0]), (3, [1.0, 1.0])]
     found = nn_descent.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<float>"))
