@@ -2,7 +2,8 @@
 
     python -m gristmill.cli prepare --raw 'raw/events_part_*.csv' --lake LAKE --mvs MVS
     python -m gristmill.cli run --lake LAKE --mvs MVS --queries FOLDER --out FOLDER [--adaptive] [--approx-sample P] [--approx-seed N] [--telemetry] [--batch]
-    python -m gristmill.cli baseline --lake LAKE --queries FOLDER --out FOLDER
+    python -m gristmill.cli baseline (--lake LAKE | --raw GLOB) --queries FOLDER --out FOLDER
+    python -m gristmill.cli explain --lake LAKE --mvs MVS --queries FOLDER
     python -m gristmill.cli validate | integrity --lake LAKE --mvs MVS ; guardrails | repair --lake LAKE
 """
 
@@ -11,6 +12,7 @@ from __future__ import annotations
 import argparse
 import os
 import time
+from dataclasses import asdict
 
 from pyspark.sql import SparkSession
 
@@ -18,7 +20,7 @@ from .engine import Engine
 from .operators.batch import chunks
 from .operators.compare import same_rows
 from .plans.build import ViewStore, fits
-from .plans.catalog import FIXED, WIDE_DIMS, WIDE_GRAINS, full_catalog, wide_view
+from .plans.catalog import FIXED, REBUILT, WIDE_DIMS, WIDE_GRAINS, full_catalog, wide_view
 from .quality import guardrails, integrity, repair
 from .sources import readers, sinks
 
@@ -46,13 +48,15 @@ def prepare(spark, args) -> dict:
 def build(spark, args) -> dict:
     base = readers.read_lake(spark, args.lake)
     wide = [wide_view(g, d) for g in WIDE_GRAINS for d in WIDE_DIMS if (args.users or d != "user_id") and fits(base, g, d, args.max_rows)]
-    done = ViewStore(spark, args.mvs).build_all([*FIXED, *([] if args.fixed_only else wide)], base, args.workers)
+    store = ViewStore(spark, args.mvs)
+    store.clean_staging()
+    done = store.build_all([*FIXED, *([] if args.fixed_only else wide), *(REBUILT if args.rebuilt else [])], base, args.workers)
     return {k: {"status": s.status, "rows": s.rows, "seconds": s.seconds, "error": s.error} for k, s in done.items()}
 
 
 def engine_of(spark, args) -> Engine:
     store = ViewStore(spark, args.mvs) if args.mvs else None
-    base = readers.read_lake(spark, args.lake)
+    base = readers.read_lake(spark, args.lake) if args.lake else readers.read_raw_events(spark, args.raw, args.strict)
     return Engine(base, full_catalog() if store else {}, store and store.read, store.ready if store else (lambda _: False), store and store.rows())
 
 
@@ -115,12 +119,18 @@ def run_repair(spark, args) -> dict:
     keep, bad = repair.quarantine(base)
     counts = {r.constraint: r.rows for r in repair.count_violations(keep).collect()}
     if args.out:
-        sinks.write_csv(repair.quarantine_report(bad), f"{args.out}/quarantine")
+        sinks.write_csv(repair.rejected(base), f"{args.out}/quarantine")  # every row; the report is cut
+        sinks.write_csv(repair.quarantine_report(bad), f"{args.out}/quarantine_report")
         sinks.write_partitioned(repair.enforce(keep), f"{args.out}/events", ("type", "day"), ("country",))
     return {"folders": folders, "violations": counts, "next": repair.next_steps(counts)}
 
 
-COMMANDS = {"prepare": prepare, "build": build, "run": run, "baseline": baseline, "validate": validate, "integrity": check_integrity, "guardrails": check_guardrails, "repair": run_repair}
+def explain(spark, args) -> dict:
+    engine = engine_of(spark, args)
+    return {n: asdict(engine.explain(s)) for n, s in readers.query_files(args.queries).items()}
+
+
+COMMANDS = {"explain": explain, "prepare": prepare, "build": build, "run": run, "baseline": baseline, "validate": validate, "integrity": check_integrity, "guardrails": check_guardrails, "repair": run_repair}
 
 
 def parser() -> argparse.ArgumentParser:
@@ -133,7 +143,7 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("--max-rows", type=int, default=80_000_000)
     p.add_argument("--approx-sample", type=float)
     p.add_argument("--approx-seed", type=int, default=42)
-    for flag in ("strict", "users", "fixed-only", "adaptive", "telemetry", "batch", "update-health-table"):
+    for flag in ("strict", "users", "fixed-only", "rebuilt", "adaptive", "telemetry", "batch", "update-health-table"):
         p.add_argument(f"--{flag}", action="store_true")
     return p
 

@@ -10,8 +10,9 @@ from pyspark.sql import DataFrame
 from .operators.batch import run_batch
 from .operators.execute import run_base, run_sampled
 from .plans.analyzer import WorkloadAnalyzer
-from .plans.cache import ResultCache
+from .plans.cache import ResultCache, data_version
 from .plans.catalog import MVDef
+from .plans.cost import CostedPlan, explain_cost
 from .plans.router import Decision, route, run_view
 from .plans.telemetry import Telemetry
 from .spec import QuerySpec
@@ -44,6 +45,11 @@ class Engine:
             return run_view(self.views(decision.target), spec, decision.plan)
         return run_base(self.base, spec)
 
+    def explain(self, raw: dict | QuerySpec) -> CostedPlan:
+        """What each route would read, and the one that routing takes."""
+        spec = self.parse(raw)
+        return explain_cost(spec, self.base, self.catalog if self.views else {}, self.views, self.ready)
+
     def collect(self, raw: dict | QuerySpec, name: str = "query", cached: bool = False, views: bool = True) -> list:
         """Rows, with routing and time recorded."""
         spec = self.parse(raw)
@@ -52,7 +58,7 @@ class Engine:
         record = self.telemetry.record(name, decision, (time.perf_counter() - began) * 1000)
         began = time.perf_counter()
         make = lambda: run_view(self.views(decision.target), spec, decision.plan) if decision.plan else run_base(self.base, spec)
-        found = (self.cache.get(spec, self.version, make) if cached else make()).collect()
+        found = (self.cache.get(spec, self.version or data_version(self.base), make) if cached else make()).collect()
         seconds = time.perf_counter() - began
         record.execution_ms, record.rows = seconds * 1000, len(found)
         self.analyzer.record(spec, bool(decision.plan), seconds)

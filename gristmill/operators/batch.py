@@ -5,18 +5,17 @@ from __future__ import annotations
 
 import json
 from collections.abc import Callable, Iterator
+from dataclasses import replace
 
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 
-from ..functions.aggregates import base_measure
 from ..spec import Measure, QuerySpec, SpecError
-from .execute import filtered, finish
+from .execute import finish
 
 
 def group_key(spec: QuerySpec) -> str:
-    c = spec.canonical()
-    return json.dumps([c["from"], c["where"], c["group_by"]], default=str)
+    return json.dumps([spec.table, spec.where_key(), sorted(spec.group_by)], default=str)
 
 
 def supersets(specs: dict[str, QuerySpec]) -> list[list[str]]:
@@ -36,18 +35,22 @@ def check_aliases(specs: dict[str, QuerySpec]) -> None:
                 raise SpecError(f"{m.name} stands for {meaning[m.name]} and {m.canonical}")
 
 
+def superset(specs: list[QuerySpec]) -> QuerySpec:
+    """One query with the groups of all and the union of their measures, under canonical names."""
+    first = specs[0]
+    union = {m.canonical: replace(m, alias="") for s in specs for m in s.measures}
+    return QuerySpec(first.table, first.group_by, tuple(union.values()), (*first.group_by, *union), first.where, first.group_by)
+
+
 def run_batch(df: DataFrame, specs: dict[str, QuerySpec], base: Callable[[DataFrame, QuerySpec], DataFrame]) -> tuple[dict[str, DataFrame], list[DataFrame]]:
-    """(frame of each query, persisted supersets to unpersist when done)."""
+    """(frame of each query, persisted supersets to unpersist when done). ``base`` runs one query, on
+    a view or the base table as it sees fit; a superset goes through it as well."""
     out, held = {}, []
     for names in supersets(specs):
         if len(names) == 1:
             out[names[0]] = base(df, specs[names[0]])
             continue
-        first = specs[names[0]]
-        union: dict[str, Measure] = {m.canonical: m for n in names for m in specs[n].measures}
-        made = [base_measure(m, df.schema).alias(m.canonical) for m in union.values()]
-        rows = filtered(df, first)
-        shared = (rows.groupBy(*first.group_by).agg(*made) if made else rows.select(*first.group_by).distinct()).persist(StorageLevel.MEMORY_AND_DISK)
+        shared = base(df, superset([specs[n] for n in names])).persist(StorageLevel.MEMORY_AND_DISK)
         held.append(shared)
         for n in names:
             spec = specs[n]

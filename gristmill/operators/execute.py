@@ -18,6 +18,9 @@ def filtered(df: DataFrame, spec: QuerySpec) -> DataFrame:
 def finish(out: DataFrame, spec: QuerySpec, ties: bool = True) -> DataFrame:
     """Order, limit and the selected columns. Nulls come last both ways; under a limit the group
     keys (or all columns) break ties, so that the same rows come out each time."""
+    condition = conjunction(spec.having, out.schema)
+    if condition is not None:
+        out = out.where(condition)
     keys, named = [], set()
     for o in spec.order_by:
         name = spec.resolve_order(o)
@@ -58,7 +61,6 @@ def run_sampled(df: DataFrame, spec: QuerySpec, percent: float, seed: int = 42)
 
 
 def wants_sample(spec: QuerySpec) -> bool:
-    """Whether a sample is worth proposing: aggregates over users, auctions or minutes without any
-    filter on time."""
-    timed = any(p.col in ("ts", "day", "week", "hour", "minute") for p in spec.where)
-    return bool(spec.measures) and not timed and bool({"user_id", "auction_id", "minute"} & set(spec.group_by))
+    """Whether a sample is worth proposing: groups by a column of very many values, over all times."""
+    timed = any(c in ("ts", "day", "week", "hour", "minute") for p in spec.where for c in p.cols)
+    return bool(spec.measures) and not timed and any(c in ("user_id", "auction_id", "minute") for c in spec.group_by)

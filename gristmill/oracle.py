@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from .plans.catalog import MVDef, Stored
 from .schema import COLUMNS, MONEY
-from .spec import Measure, QuerySpec
+from .spec import Condition, Group, Measure, QuerySpec
 
 #: The adapter view.
 EVENTS = """(SELECT ts, CAST(date_trunc('week', ts) AS DATE) AS "week", CAST(ts AS DATE) AS "day", date_trunc('hour', ts) AS "hour",
@@ -27,17 +27,23 @@ def _value(col: str, v) -> str:
     return str(v)
 
 
+_SIGNS = {"eq": "=", "neq": "<>", "lt": "<", "lte": "<=", "gt": ">", "gte": ">="}
+
+
+def condition_sql(p: Condition) -> str:
+    if isinstance(p, Group):
+        parts = [f"({condition_sql(x)})" for x in p.parts]
+        return f"NOT {parts[0]}" if p.op == "not" else (" OR " if p.op == "any" else " AND ").join(parts)
+    values = p.val if isinstance(p.val, tuple) else (p.val,)
+    left = _name(p.col)
+    if p.col == "hour" and all(isinstance(v, int) for v in values):
+        left = 'extract(hour FROM "hour")'
+    own = [_value(p.col, v) for v in values]
+    return {"is_null": f"{left} IS NULL", "is_not_null": f"{left} IS NOT NULL", "between": f"{left} BETWEEN {own[0]} AND {own[-1]}", "in": f"{left} IN ({', '.join(own)})"}.get(p.op) or f"{left} {_SIGNS[p.op]} {own[0]}"
+
+
 def where_sql(spec: QuerySpec) -> str:
-    signs = {"eq": "=", "neq": "<>", "lt": "<", "lte": "<=", "gt": ">", "gte": ">="}
-    out = []
-    for p in spec.where:
-        values = p.val if isinstance(p.val, tuple) else (p.val,)
-        left = _name(p.col)
-        if p.col == "hour" and all(isinstance(v, int) for v in values):
-            left = 'extract(hour FROM "hour")'
-        own = [_value(p.col, v) for v in values]
-        out.append({"is_null": f"{left} IS NULL", "is_not_null": f"{left} IS NOT NULL", "between": f"{left} BETWEEN {own[0]} AND {own[-1]}", "in": f"{left} IN ({', '.join(own)})"}.get(p.op) or f"{left} {signs[p.op]} {own[0]}")
-    return " WHERE " + " AND ".join(out) if out else ""
+    return " WHERE " + " AND ".join(f"({condition_sql(p)})" for p in spec.where) if spec.where else ""
 
 
 def _sum(col: str, condition: str = "") -> str:
@@ -60,6 +66,8 @@ def query_sql(spec: QuerySpec, source: str = EVENTS) -> str:
     sql = f"SELECT {', '.join(items)} FROM {source} AS e{where_sql(spec)}"
     if spec.group_by:
         sql += " GROUP BY " + ", ".join(_name(c) for c in spec.group_by)
+    if spec.having:
+        sql = f"SELECT * FROM ({sql}) AS h WHERE " + " AND ".join(f"({condition_sql(p)})" for p in spec.having)
     order = [f"{_name(spec.resolve_order(o))} {'DESC' if o.descending else 'ASC'} NULLS LAST" for o in spec.order_by]
     if spec.limit:
         named = {spec.resolve_order(o) for o in spec.order_by}

@@ -23,7 +23,7 @@ from ..functions.aggregates import plain
 from ..functions.predicates import conjunction
 from ..operators.execute import finish
 from ..schema import MONEY
-from ..spec import Measure, Predicate, QuerySpec
+from ..spec import Condition, Measure, QuerySpec
 from .catalog import MVDef, Stored
 
 #: Times that follow from another: to derive the first, any of the others.
@@ -34,7 +34,7 @@ DERIVED = {"hour": ("hour",), "day": ("day", "hour"), "week": ("week", "day", "h
 class RoutedPlan:
     mv: MVDef
     only: str | None  # type whose stored measures are used
-    residual: tuple[Predicate, ...]
+    residual: tuple[Condition, ...]
     score: float
 
 
@@ -83,7 +83,7 @@ def admit(spec: QuerySpec, mv: MVDef) -> RoutedPlan | Rejection:
         residual = [p for p in residual if not (p.col == "type" and p.op == "eq")]
         if not mv.find("COUNT", "*", only):
             return Rejection("missing_columns", f"nothing stored for type {kind}")
-    if bad := [p.col for p in residual if not _derivable(p.col, mv)]:
+    if bad := [c for p in residual for c in p.cols if not _derivable(c, mv)]:
         return Rejection("custom_filter", f"can't test {bad[0]}")
     if bad := [c for c in spec.group_by if not _derivable(c, mv) or (mv.only and c == "type")]:
         return Rejection("missing_columns", f"no {bad[0]}")
@@ -101,7 +101,7 @@ SCORE = {"dims": 50, "exact": 30, "filters": 20, "type": 10}
 def score(spec: QuerySpec, mv: MVDef) -> float:
     got = SCORE["dims"] if set(spec.group_by) <= set(mv.dims) else 0
     got += SCORE["exact"] if set(spec.group_by) == set(mv.dims) else 0
-    got += SCORE["filters"] if all(p.col in mv.dims for p in spec.where if p.col != "type") else 0
+    got += SCORE["filters"] if all(c in mv.dims for p in spec.where for c in p.cols if c != "type") else 0
     return got + (SCORE["type"] if mv.only else 0)
 
 
@@ -132,7 +132,7 @@ def route(spec: QuerySpec, catalog: dict[str, MVDef], ready: Callable[[str], boo
 def run_view(view: DataFrame, spec: QuerySpec, plan: RoutedPlan) -> DataFrame:
     """The query on a view's rows."""
     mv, only = plan.mv, plan.only
-    needed = dict.fromkeys([*spec.group_by, *(p.col for p in plan.residual)])
+    needed = dict.fromkeys([*spec.group_by, *(c for p in plan.residual for c in p.cols)])
     stored = {s.name for m in spec.measures for s in _parts(m, mv, only, True)}
     present = mv.find("COUNT", "*", only)
     if only:
@@ -142,6 +142,9 @@ def run_view(view: DataFrame, spec: QuerySpec, plan: RoutedPlan) -> DataFrame:
     if condition is not None:
         rows = rows.where(condition)
     here = F.sum(F.col(f"stored {present.name}")) if only else F.lit(1)
+    if spec.measures and not only and spec.group_by and set(spec.group_by) == set(mv.dims):
+        # a row of the view is a group: nothing to aggregate again
+        return finish(rows.select(*spec.group_by, *(_as_stored(m, _parts(m, mv, None, True)).alias(m.name) for m in spec.measures)), spec)
     if spec.measures or only:
         made = [_again(m, _parts(m, mv, only, True)).alias(m.name) for m in spec.measures]
         rows = rows.groupBy(*spec.group_by).agg(*made, here.alias("rows here"))
@@ -153,6 +156,14 @@ def run_view(view: DataFrame, spec: QuerySpec, plan: RoutedPlan) -> DataFrame:
     return finish(rows, spec)
 
 
+def _as_stored(m: Measure, parts: tuple[Stored, ...]) -> Column:
+    money = m.col in MONEY
+    first = F.col(f"stored {parts[0].name}")
+    if m.func == "AVG":
+        return plain(first, True) / F.nullif(F.col(f"stored {parts[1].name}"), F.lit(0))
+    return plain(first, money) if m.func == "SUM" else first
+
+
 def _again(m: Measure, parts: tuple[Stored, ...]) -> Column:
     money = m.col in MONEY
     first = F.col(f"stored {parts[0].name}")

@@ -54,6 +54,14 @@ def enforce(events: DataFrame) -> DataFrame:
     return events.where(~reduce(or_, violations().values()))
 
 
+def rejected(events: DataFrame) -> DataFrame:
+    """All rows without a key or that break a constraint, with the reasons of each: what neither
+    ``quarantine`` nor ``enforce`` keeps."""
+    tests = {"null key": null_keys(KEYS), **violations()}
+    why = F.array_compact(F.array(*(F.when(c, F.lit(k)) for k, c in tests.items())))
+    return events.withColumn("reasons", why).where(F.size("reasons") > 0).withColumn("reasons", F.concat_ws(",", "reasons")).withColumn("quarantined_at", F.current_timestamp())
+
+
 _DATES = (r"(\d{4})-(\d{1,2})-(\d{1,2})(?:[ T].*)?", r"(\d{4})/(\d{1,2})/(\d{1,2})", r"(\d{4})(\d{2})(\d{2})", r"(\d{4})_(\d{1,2})_(\d{1,2})", r"(\d{4})\.(\d{1,2})\.(\d{1,2})")
 YEARS = range(2020, 2031)
 

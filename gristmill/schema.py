@@ -42,8 +42,11 @@ def time_columns(ts: Column, zoned: bool = True) -> dict[str, Column]:
 
 
 def _integer(c: str, kind: str) -> Column:
-    """Text to a whole number, rounded; null where it is no number."""
-    return F.round(F.expr(f"try_cast(nullif(trim({c}), '') as double)")).try_cast(kind)
+    """Text to a whole number, null where it is no number; a fraction is rounded. Whole numbers don't
+    go through doubles, which don't hold all of them."""
+    text = f"nullif(trim({c}), '')"
+    exact = F.expr(f"CASE WHEN {text} RLIKE '^[+-]?[0-9]+$' THEN try_cast({text} AS bigint) END").try_cast(kind)
+    return F.coalesce(exact, F.round(F.expr(f"CASE WHEN NOT {text} RLIKE '^[+-]?[0-9]+$' THEN try_cast({text} AS double) END")).try_cast(kind))
 
 
 def typed_events(raw: DataFrame) -> DataFrame:

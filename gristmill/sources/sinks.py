@@ -13,11 +13,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def write_lake(events: DataFrame, lake: str, cluster: tuple[str, ...] = ("type", "country"), files_per_day: int = 1) -> None:
-    """Day folders, clustered inside. A day's rows go to ``files_per_day`` tasks (a salt on the rows), so
-    that one large day doesn't wait for one task."""
-    salt = F.pmod(F.xxhash64("auction_id"), F.lit(files_per_day))
-    events.repartition("day", salt).sortWithinPartitions("day", *cluster).write.mode("overwrite").partitionBy("day").option("compression", "zstd").parquet(f"{lake}/events")
+def write_lake(events: DataFrame, lake: str, cluster: tuple[str, ...] = ("type", "country")) -> None:
+    """Day folders, clustered inside. Rows are rebalanced by day: small days share a task, and a day
+    over Spark's advisory size is split, so files are of a good size and no day waits for one task."""
+    events.hint("rebalance", "day").sortWithinPartitions("day", *cluster).write.mode("overwrite").partitionBy("day").option("compression", "zstd").parquet(f"{lake}/events")
 
 
 def write_partitioned(df: DataFrame, path: str, by: tuple[str, ...], cluster: tuple[str, ...] = ()) -> None:

@@ -1,7 +1,8 @@
 """The query contract: small JSON documents, validated and made canonical.
 
     {"from": table, "select": [column | {FUNC: column | "*" | "DISTINCT column", "as": alias}],
-     "where": [{"col", "op", "val"}], "group_by": [column],
+     "where": [{"col", "op", "val"} | {"any": [...]} | {"all": [...]} | {"not": ...}],
+     "group_by": [column], "having": [the same, col being a name or an aggregate that is selected],
      "order_by": [{"col", "dir"}], "limit": n}
 
 Unknown operators, functions, columns or keys raise ``SpecError``; nothing is ignored. A missing or
@@ -12,7 +13,7 @@ from __future__ import annotations
 
 import hashlib
 import json
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 OPS = ("eq", "neq", "lt", "lte", "gt", "gte", "between", "in", "is_null", "is_not_null")
 FUNCS = ("SUM", "COUNT", "AVG", "MIN", "MAX")
@@ -47,6 +48,45 @@ class Predicate:
         return Predicate(col, op, val)
 
 
+    @property
+    def cols(self) -> tuple[str, ...]:
+        return (self.col,)
+
+    def plain(self) -> list:
+        return [self.col, self.op, list(self.val) if isinstance(self.val, tuple) else self.val]
+
+
+@dataclass(frozen=True)
+class Group:
+    """Conditions of which any, all or (a single one) none must hold."""
+
+    op: str  # any, all or not
+    parts: tuple[Predicate | Group, ...]
+    col: str = ""  # a group tests no single column
+    val: object = None
+
+    @property
+    def cols(self) -> tuple[str, ...]:
+        return tuple(dict.fromkeys(c for p in self.parts for c in p.cols))
+
+    def plain(self) -> list:
+        return [self.op, [p.plain() for p in self.parts]]
+
+
+Condition = Predicate | Group
+
+
+def condition(raw: dict) -> Condition:
+    if not isinstance(raw, dict):
+        raise SpecError(f"not a condition: {raw!r}")
+    if len(raw) == 1 and (op := next(iter(raw))) in ("any", "all", "not"):
+        inner = [raw[op]] if op == "not" else raw[op]
+        if not isinstance(inner, (list, tuple)) or not inner:
+            raise SpecError(f"{op} takes conditions: {raw}")
+        return Group(op, tuple(condition(x) for x in inner))
+    return Predicate.parse(raw)
+
+
 @dataclass(frozen=True)
 class Measure:
     func: str
@@ -91,10 +131,11 @@ class QuerySpec:
     columns: tuple[str, ...] = ()
     measures: tuple[Measure, ...] = ()
     select: tuple[str, ...] = ()  # output names in order; empty: all columns
-    where: tuple[Predicate, ...] = ()
+    where: tuple[Condition, ...] = ()
     group_by: tuple[str, ...] = ()
     order_by: tuple[Order, ...] = ()
     limit: int | None = None
+    having: tuple[Condition, ...] = ()  # columns are output names
     known: tuple[str, ...] | None = field(default=None, compare=False)
 
     @property
@@ -118,7 +159,7 @@ class QuerySpec:
     @staticmethod
     def parse(raw: dict, known: tuple[str, ...] | None = None) -> QuerySpec:
         """known: the table's columns, to check names against."""
-        extra = set(raw) - {"from", "select", "where", "group_by", "order_by", "limit"}
+        extra = set(raw) - {"from", "select", "where", "group_by", "having", "order_by", "limit"}
         if extra:
             raise SpecError(f"unknown keys: {sorted(extra)}")
         columns, measures, select = [], [], []
@@ -151,11 +192,15 @@ class QuerySpec:
         limit = raw.get("limit")
         if limit is not None and (isinstance(limit, bool) or not str(limit).isdigit()):
             raise SpecError(f"not a limit: {limit!r}")
-        spec = QuerySpec(raw.get("from", "events"), tuple(columns), tuple(measures), tuple(select), tuple(Predicate.parse(p) for p in raw.get("where") or ()), group_by, tuple(order), int(limit) or None if limit is not None else None, known)
+        spec = QuerySpec(raw.get("from", "events"), tuple(columns), tuple(measures), tuple(select), tuple(condition(p) for p in raw.get("where") or ()), group_by, tuple(order), int(limit) or None if limit is not None else None, known=known)
         for o in spec.order_by:
             spec.resolve_order(o)
+        if raw.get("having"):
+            if not spec.aggregates:
+                raise SpecError("having needs groups or aggregates")
+            spec = replace(spec, having=tuple(spec._named(condition(p)) for p in raw["having"]))
         if known is not None:
-            named = {*columns, *group_by, *(p.col for p in spec.where), *(m.col for m in measures if m.col != "*")}
+            named = {*columns, *group_by, *(c for p in spec.where for c in p.cols), *(m.col for m in measures if m.col != "*")}
             if missing := named - set(known):
                 raise SpecError(f"unknown columns: {sorted(missing)}")
         return spec
@@ -170,19 +215,27 @@ class QuerySpec:
                 return m.name
         raise SpecError(f"order by something not selected: {order.col}")
 
+    def _named(self, c: Condition) -> Condition:
+        """A condition of having, its columns resolved to output names."""
+        if isinstance(c, Group):
+            return replace(c, parts=tuple(map(self._named, c.parts)))
+        return replace(c, col=self.resolve_order(Order(c.col)))
+
     def canonical(self) -> dict:
         """Equal for queries of equal results: predicates sorted, everything else as it is."""
         return {
             "from": self.table,
             "select": [[m.canonical, m.name] if (m := next((x for x in self.measures if x.name == s), None)) else s for s in self.select],
-            "where": sorted([p.col, p.op, list(p.val) if isinstance(p.val, tuple) else p.val] for p in set(self.where)) if self._sortable() else [[p.col, p.op, repr(p.val)] for p in self.where],
-            "group_by": sorted(self.group_by),
+            "where": self.where_key(),
+            # under a limit, groups break ties in the order they are given
+            "group_by": list(self.group_by) if self.limit else sorted(self.group_by),
+            "having": sorted((p.plain() for p in set(self.having)), key=repr),
             "order_by": [[self.resolve_order(o), o.descending] for o in self.order_by],
             "limit": self.limit,
         }
 
-    def _sortable(self) -> bool:
-        return len({(p.col, p.op) for p in self.where}) == len(self.where)
+    def where_key(self) -> list:
+        return sorted((p.plain() for p in set(self.where)), key=repr)
 
     def fingerprint(self, data_version: str = "") -> str:
         return hashlib.sha256(json.dumps([self.canonical(), data_version], sort_keys=True, default=str).encode()).hexdigest()

@@ -111,6 +111,9 @@ def test_engine_accounts_caches_and_batches(events, views):
         assert same_rows(f, engine.frame(ALL[k], views=False)), k
     for h in held:
         h.unpersist()
+    assert not engine.analyzer.suggest({}, 2)  # views answered all of them
+    for _ in range(2):
+        engine.collect(ALL["q3_avg_purchase_by_country"], views=False)
     suggestions = engine.analyzer.suggest({}, 2)
     assert suggestions and "GROUP BY" in suggestions[0].ddl() and suggestions[0].definition().frame(events).count()
 

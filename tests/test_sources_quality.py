@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 from gristmill import cli
 from gristmill.operators.compare import mismatches, same_rows, sample_keys
 from gristmill.plans.catalog import full_catalog, wide_view
-from gristmill.plans.cost import TableStats, explain_cost
+from gristmill.engine import Engine
+from gristmill.plans.cost import shape
 from gristmill.quality import guardrails, integrity, repair
 from gristmill.schema import COLUMNS, adapt_events
 from gristmill.sources import readers, sinks
@@ -27,6 +28,8 @@ def test_raw_parts_with_different_columns(spark, tmp_path):
     rows = readers.read_raw_events(spark, f"{tmp_path}/events_part_*.csv").orderBy("ts").collect()
     assert [r.type for r in rows] == ["impression", "purchase", "serve"]  # the unreadable time is dropped
     assert rows[0].advertiser_id == 13 and rows[1].advertiser_id is None and rows[2].bid_price is None
+    (tmp_path / "whole.csv").write_text("ts,user_id\n1704067200000,9007199254740993\n1704067200000, 7.6 \n1704067200000,99999999999999999999\n")
+    assert sorted(str(r.user_id) for r in readers.read_raw_events(spark, f"{tmp_path}/whole.csv").collect()) == ["8", "9007199254740993", "None"]
     assert rows[0].total_price is None and rows[1].total_price == 4.25
     assert rows[1].hour.hour == 1 and rows[0].week == datetime.date(2024, 1, 1) and rows[0].minute == "2024-01-01 00:00"
     with pytest.raises(FileNotFoundError):
@@ -105,10 +108,21 @@ def test_streams_refresh_views(spark, events, tmp_path):
     assert spark.sql("select sum(events) as n from windows").head().n == events.count()
 
 
-def test_cost_model_prefers_small_routes():
-    plans = {k: explain_cost(QuerySpec.parse(d, COLUMNS), TableStats(14_800_000)) for k, d in COST_SUITE.items()}
-    assert plans["funnel_analysis"].pattern == "funnel_analysis" and plans["time_series"].pattern == "time_series_aggregation"
-    assert plans["selective_lookup"].route in ("index_scan", "partition_scan") and all(min(p.costs.values()) == p.costs[p.route] for p in plans.values())
+def test_costs_of_routes(events):
+    views = {k: mv.frame(events).persist() for k, mv in full_catalog().items()}
+    engine = Engine(events, full_catalog(), views.get)
+    plan = engine.explain(ALL["q4_advertiser_type_counts"])
+    assert plan.chosen == engine.plan(ALL["q4_advertiser_type_counts"]).target and not plan.routes[0].reason
+    assert {r.target for r in plan.routes} == {"events", *views} and all(r.tasks >= 1 and r.bytes > 0 for r in plan.routes)
+    jp = QuerySpec.parse({"select": [{"COUNT": "*"}], "where": [{"col": "country", "op": "eq", "val": "JP"}]}, COLUMNS)
+    assert engine.explain(jp).share == events.where("country = 'JP'").count() / events.count() and engine.explain(jp).most_rows == 1
+    assert {shape(QuerySpec.parse(d, COLUMNS)) for d in COST_SUITE.values()} <= {"rows", "total", "series", "breakdown", "distinct counts"}
+
+
+def test_repair_writes_every_row(events):
+    bad = events.withColumn("total_price", F.lit(-1.0)).withColumn("advertiser_id", F.when(F.col("user_id") % 2 == 0, 1))
+    rows = repair.rejected(bad)
+    assert rows.count() == events.count() and rows.where("reasons = 'null key,total_price'").count() == events.where("user_id % 2 <> 0").count()
 
 
 def test_csv_text_has_real_line_ends(tmp_path):

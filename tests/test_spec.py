@@ -44,3 +44,19 @@ def test_fingerprints_tell_results_apart():
     ordered = [doc | {"order_by": [{"col": a}, {"col": b}]} for a, b in (("day", "SUM(bid_price)"), ("SUM(bid_price)", "day"))]
     prints = {QuerySpec.parse(d).fingerprint() for d in (doc, aliased, *ordered)} | {base.fingerprint("v2")}
     assert len(prints) == 5
+
+
+def test_groups_of_another_order_under_a_limit_are_another_query():
+    a, b = (QuerySpec.parse({"select": ["country", "type", {"COUNT": "*"}], "group_by": g, "limit": 3}) for g in (["country", "type"], ["type", "country"]))
+    assert a.fingerprint() != b.fingerprint()
+    a, b = (QuerySpec.parse({"select": ["country", "type", {"COUNT": "*"}], "group_by": g}) for g in (["country", "type"], ["type", "country"]))
+    assert a.fingerprint() == b.fingerprint()
+
+
+def test_having_names_what_is_selected():
+    doc = {"select": ["country", {"SUM": "bid_price"}], "group_by": ["country"]}
+    spec = QuerySpec.parse({**doc, "having": [{"col": "sum(bid_price)", "op": "gt", "val": 1}]})
+    assert spec.having[0].col == "SUM(bid_price)" and spec.fingerprint() != QuerySpec.parse(doc).fingerprint()
+    for bad in ({**doc, "having": [{"col": "day", "op": "is_null"}]}, {"select": ["day"], "having": [{"col": "day", "op": "is_null"}]}, {**doc, "where": [{"any": []}]}, {**doc, "where": [{"not": [{"col": "day", "op": "is_null"}]}]}):
+        with pytest.raises(SpecError):
+            QuerySpec.parse(bad)
