@@ -69,6 +69,76 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     }
 
 
+#: Every window of 20 words by the order of its places; removed are words of windows that aren't the first of their content.
+OP2_SQL = r"""
+WITH w AS (
+  SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents
+), windows AS (
+  SELECT doc_id, i, md5(array_to_string(w[i : i + 19], ' ')) AS h FROM w, unnest(range(1, len(w) - 18)) AS u(i) WHERE len(w) >= 20
+), placed AS (
+  SELECT doc_id, i, row_number() OVER (PARTITION BY h ORDER BY doc_id, i) AS nth FROM windows
+), gone AS (
+  SELECT DISTINCT doc_id, k FROM placed, unnest(range(i, i + 20)) AS u(k) WHERE nth > 1
+), words AS (
+  SELECT doc_id, k, w[k] AS word FROM w, unnest(range(1, len(w) + 1)) AS u(k)
+), kept AS (
+  SELECT doc_id, count(*) AS n, string_agg(word, ' ' ORDER BY k) AS line FROM words ANTI JOIN gone USING (doc_id, k) GROUP BY doc_id
+)
+SELECT w.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(w) - coalesce(n, 0) AS BIGINT) AS n_removed, sha256(coalesce(line, '')) AS kept_sha256 FROM w LEFT JOIN kept ON w.doc_id = kept.doc_id
+"""
+
+#: All pairs that share a shingle, and what can be reached over links.
+OP3_SQL = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents
+), shingles AS (
+  SELECT DISTINCT doc_id, md5(array_to_string(w[i : i + 4], ' ')) AS s FROM w, unnest(range(1, greatest(1, len(w) - 4) + 1)) AS u(i) WHERE len(w) > 0
+), sizes AS (
+  SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id
+), common AS (
+  SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM shingles a JOIN shingles b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY ALL
+), links AS (
+  SELECT a, b FROM common JOIN sizes x ON a = x.doc_id JOIN sizes y ON b = y.doc_id WHERE 100 * c >= 75 * (x.n + y.n - c)
+), edges AS (
+  SELECT a, b FROM links UNION SELECT b, a FROM links
+), reached(a, b) AS (
+  SELECT doc_id, doc_id FROM documents UNION SELECT r.a, e.b FROM reached r JOIN edges e ON r.b = e.a
+), components AS (
+  SELECT a AS doc_id, min(b) AS component_id FROM reached GROUP BY a
+)
+SELECT d.doc_id, coalesce(n, 0) AS n_shingles, component_id, d.doc_id = component_id AS kept
+FROM documents d JOIN components c ON d.doc_id = c.doc_id LEFT JOIN sizes s ON d.doc_id = s.doc_id
+"""
+
+#: Bytes as two hexadecimal digits each; windows by the number of their 128-bit hash.
+OP6_SQL = r"""
+WITH h AS (
+  SELECT doc_id, lower(hex(encode(coalesce(text, '')))) AS h FROM documents
+), sized AS (
+  SELECT doc_id, h, CAST(len(h) // 2 AS BIGINT) AS n FROM h
+), windows AS (
+  SELECT doc_id, i, md5_number(h[2 * i + 1 : 2 * i + 400]) AS m FROM sized, unnest(range(0, n - 199)) AS u(i) WHERE n >= 200
+), counted AS (
+  SELECT doc_id, i, count(*) OVER (PARTITION BY m) AS c FROM windows
+), marks AS (
+  SELECT doc_id, pos, sum(d) AS d FROM (SELECT doc_id, i AS pos, 1 AS d FROM counted WHERE c > 1 UNION ALL SELECT doc_id, i + 200, -1 FROM counted WHERE c > 1) GROUP BY ALL
+), depth AS (
+  SELECT doc_id, pos, sum(d) OVER w AS deep, lead(pos) OVER (PARTITION BY doc_id ORDER BY pos) AS next FROM marks WINDOW w AS (PARTITION BY doc_id ORDER BY pos)
+), cut AS (
+  SELECT doc_id, pos, next, deep, lag(deep, 1, 0) OVER (PARTITION BY doc_id ORDER BY pos) AS before FROM depth
+), removed AS (
+  SELECT doc_id, sum(next - pos) FILTER (WHERE deep > 0) AS n_removed, count(*) FILTER (WHERE deep > 0 AND before = 0) AS n_spans FROM cut GROUP BY doc_id
+), keeps AS (  -- stretches between the removed ones
+  SELECT doc_id, pos AS a, next AS z FROM cut WHERE deep = 0 AND next IS NOT NULL
+  UNION ALL SELECT s.doc_id, 0, coalesce(min(pos), any_value(n)) FROM sized s LEFT JOIN cut c ON s.doc_id = c.doc_id GROUP BY s.doc_id
+  UNION ALL SELECT s.doc_id, max(pos), any_value(n) FROM sized s JOIN cut c ON s.doc_id = c.doc_id GROUP BY s.doc_id
+), lines AS (
+  SELECT k.doc_id, string_agg(s.h[2 * a + 1 : 2 * z], '' ORDER BY a) AS line FROM keeps k JOIN sized s ON k.doc_id = s.doc_id WHERE z > a GROUP BY k.doc_id
+)
+SELECT s.doc_id, n AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(coalesce(line, ''))) AS kept_sha256
+FROM sized s LEFT JOIN removed r ON s.doc_id = r.doc_id LEFT JOIN lines l ON s.doc_id = l.doc_id
+"""
+
 #: The store must give back what came in, whatever shards it was in on the way.
 OP7_SQL = "SELECT doc_id, lang, source, n_chars, md5(text) AS text_md5 FROM documents"
 
@@ -102,4 +172,4 @@ FROM lists l LEFT JOIN covered c ON l.doc_id = c.doc_id LEFT JOIN named m ON l.d
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_sharding": OP7_SQL, "op9_decontaminate": OP9_SQL}
+    return {"op2_substring_dedup": OP2_SQL, "op3_minhash": OP3_SQL, "op6_suffix_dedup": OP6_SQL, "op7_sharding": OP7_SQL, "op9_decontaminate": OP9_SQL}
