@@ -195,7 +195,7 @@ class QuerySpec:
         spec = QuerySpec(raw.get("from", "events"), tuple(columns), tuple(measures), tuple(select), tuple(condition(p) for p in raw.get("where") or ()), group_by, tuple(order), int(limit) or None if limit is not None else None, known=known)
         for o in spec.order_by:
             spec.resolve_order(o)
-        if raw.get("having"):
+        if raw.get("having") is not None:
             if not spec.aggregates:
                 raise SpecError("having needs groups or aggregates")
             spec = replace(spec, having=tuple(spec._named(condition(p)) for p in raw["having"]))
