@@ -170,15 +170,16 @@ def build_graph(rows: DataFrame, degree: int = 32, tables: int = 12, iterations:
         around = near.select(F.col("u").alias("mid"), F.col("v").alias("id")).unionByName(near.select(F.col("v").alias("mid"), F.col("u").alias("id"))).distinct()
         counts = around.groupBy("mid").agg(F.count(F.lit(1)).alias("size"))
         around = around.join(counts, "mid").withColumn("salt", F.pmod(F.xxhash64("id", "mid"), F.ceil(F.col("size") / 96)))
-        blocks = around.join(vertex, "id").groupBy("mid", "salt").agg(F.collect_list(F.struct("id", "q", "worst")).alias("members"))  # about 96 rows, by the salt
-        found = blocks.repartition(parts, "mid", "salt").mapInArrow(_blocks(most), EDGE_DDL).select("u", "v", "s")
+        placed = around.join(vertex, "id").repartition(parts, "mid", "salt")  # the one shuffle of the packed vectors
+        blocks = placed.groupBy("mid", "salt").agg(F.collect_list(F.struct("id", "q", "worst")).alias("members"))  # about 96 rows, by the salt
+        found = blocks.mapInArrow(_blocks(most), EDGE_DDL).select("u", "v", "s")
         graph = materialize(best_edges(found.unionByName(graph.select("u", "v", "s")), degree), "graph")
     return graph, away
 
 
-def _score(pairs: DataFrame, rows: DataFrame) -> DataFrame:
+def _score(pairs: DataFrame, rows: DataFrame, queries: DataFrame) -> DataFrame:
     """(query_id, vec_id, score) for pairs (query_id, vec_id)."""
-    both = pairs.join(rows.select(F.col("id").alias("vec_id"), F.col("x").alias("xv")), "vec_id").join(rows.select(F.col("id").alias("query_id"), F.col("x").alias("xq")), "query_id").select("query_id", "vec_id", "xq", "xv")
+    both = pairs.join(rows.select(F.col("id").alias("vec_id"), F.col("x").alias("xv")), "vec_id").join(queries.select(F.col("id").alias("query_id"), F.col("x").alias("xq")), "query_id").select("query_id", "vec_id", "xq", "xv")
     schema = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.float64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -254,24 +255,29 @@ def search(rows: DataFrame, graph: tuple[DataFrame, DataFrame], queries: DataFra
     chosen = rows.orderBy(F.desc(norm), "id").limit(entries).collect() + rows.orderBy(F.xxhash64("id"), "id").limit(entries).collect()
     chosen = [*{r.id: r for r in chosen}.values()]
     entered = _best_of(queries.select("id", "x"), chosen, beam, False).select("query_id", "vec_id")
-    seen = materialize(_score(starts.unionByName(back).unionByName(entered).distinct(), rows).withColumn("done", F.lit(False)), "beam")
-    for turn in range(rounds + 1):
-        live = seen.withColumn("r", F.row_number().over(ranked)).where((F.col("r") <= beam) & ~F.col("done"))
-        chosen = materialize(live.withColumn("e", F.row_number().over(ranked)).where(F.col("e") <= expand).select("query_id", "vec_id", "r"), "expand")
-        if turn == rounds or chosen.isEmpty():
+    def marked(held: DataFrame) -> DataFrame:
+        """With the rank in the beam, and whether the next round expands the vertex: one sort."""
+        live = ~F.col("done") & (F.col("r") <= beam)
+        place = F.sum(live.cast("int")).over(ranked.rowsBetween(W.unboundedPreceding, W.currentRow))
+        return materialize(held.withColumn("r", F.row_number().over(ranked)).withColumn("pick", live & (place <= expand)), "beam")
+
+    asked = queries.select("id", "x")
+    seen = marked(_score(starts.unionByName(back).unionByName(entered).distinct(), rows, asked).withColumn("done", F.lit(False)))
+    for _ in range(rounds):
+        chosen = seen.where("pick").select("query_id", "vec_id")
+        if chosen.isEmpty():
             break
         reached = chosen.join(links, chosen["vec_id"] == links["u"]).select("query_id", F.col("v").alias("vec_id")).where("query_id <> vec_id").distinct()
-        new = _score(reached.join(seen.select("query_id", "vec_id"), ["query_id", "vec_id"], "left_anti"), rows).withColumn("done", F.lit(False))
-        marked = seen.join(chosen.select("query_id", "vec_id", F.lit(True).alias("now")), ["query_id", "vec_id"], "left").select("query_id", "vec_id", "score", (F.col("done") | F.coalesce("now", F.lit(False))).alias("done"))
-        seen = materialize(marked.unionByName(new), "beam")
+        new = _score(reached.join(seen.select("query_id", "vec_id"), ["query_id", "vec_id"], "left_anti"), rows, asked).withColumn("done", F.lit(False))
+        seen = marked(seen.select("query_id", "vec_id", "score", (F.col("done") | F.col("pick")).alias("done")).unionByName(new))
     # what is still open among the first k, and queries with fewer than k
     many = seen.groupBy("query_id").agg(F.count(F.lit(1)).alias("many"))
-    open_ = chosen.where(F.col("r") <= k).select("query_id").distinct().withColumn("open", F.lit(True))
+    open_ = seen.where(F.col("pick") & (F.col("r") <= k)).select("query_id").distinct().withColumn("open", F.lit(True))
     state = queries.select("id", "x").join(many, F.col("id") == many["query_id"], "left").drop("query_id").join(open_, F.col("id") == open_["query_id"], "left")
     left = materialize(state.where(F.col("open") | (F.coalesce("many", F.lit(0)) < k)).select("id", "x"), "left")
     out = seen.select("query_id", "vec_id", "score")
     if not left.isEmpty():
-        found = _score(scan_rows(rows, left, k).join(out, ["query_id", "vec_id"], "left_anti"), rows)
+        found = _score(scan_rows(rows, left, k).join(out, ["query_id", "vec_id"], "left_anti"), rows, asked)
         out = out.unionByName(found)
     return out.withColumn("rank", F.row_number().over(ranked)).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 
