@@ -15,7 +15,7 @@ from __future__ import annotations
 import hashlib
 import heapq
 import json
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import chain
 
 import numpy as np
@@ -24,12 +24,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batch_of, hold
+from .common import batch_of, hold, trim
 from .pretokens import PieceEncoder
 from .textblocks import block_of
 
 VOCABULARY = "word_bpe_49k.json"
 END = "</w>"
+#: Bytes of text that are encoded at a time; a longer document stands alone.
+SLICE = 1 << 18
 
 
 def byte_symbols() -> list[str]:
@@ -173,9 +175,10 @@ def encode(documents: DataFrame, vocabulary: str | None = None) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces = encoder(path)[1]
         for b in batches:
-            for a, ids, docs in pieces.blocks(block_of(b.column("text"))):
+            for a, ids, docs in pieces.blocks(block_of(b.column("text")), SLICE):
                 lists = pa.ListArray.from_arrays(pa.array(docs, pa.int32()), pa.array(ids.astype(np.int32)))
                 yield batch_of(IDS, b.column("doc_id").slice(a, len(docs) - 1), lists)
+            trim()
 
     return _docs(documents).mapInArrow(run, "doc_id long, ids array<int>")
 
@@ -195,12 +198,16 @@ def decode(encoded: DataFrame, vocabulary: str | None = None) -> DataFrame:
 
 def round_trip(documents: DataFrame, vocabulary: str | None = None) -> DataFrame:
     """Encode and decode every document in one pass: (doc_id, n_tokens, ids_sha256, decoded_sha256)."""
-    path = vocabulary or public_tokenizers.path(VOCABULARY)
+    return _docs(documents).mapInArrow(digests(vocabulary or public_tokenizers.path(VOCABULARY)), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+
+
+def digests(path: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """What a worker does with its batches."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe, pieces = encoder(path)
         for b in batches:
-            for a, ids, docs in pieces.blocks(block_of(b.column("text"))):
+            for a, ids, docs in pieces.blocks(block_of(b.column("text")), SLICE):
                 cuts, raw, listed = docs.tolist(), ids.astype("<u4").tobytes(), ids.tolist()
                 spans = list(zip(cuts, cuts[1:], strict=False))
                 yield batch_of(
@@ -210,5 +217,6 @@ def round_trip(documents: DataFrame, vocabulary: str | None = None) -> DataFrame
                     [hashlib.sha256(raw[4 * x : 4 * y]).hexdigest() for x, y in spans],
                     [hashlib.sha256(bpe.decode(listed[x:y])).hexdigest() for x, y in spans],
                 )
+            trim()
 
-    return _docs(documents).mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return run

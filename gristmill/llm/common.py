@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import os
 import tempfile
 import uuid
@@ -14,19 +15,31 @@ from pyspark.sql import functions as F
 
 
 _HELD: dict[tuple, object] = {}
+#: Of glibc; other C libraries have none.
+_MALLOC_TRIM = getattr(ctypes.CDLL(None), "malloc_trim", None)
 
 
 def hold(key: tuple, make: Callable[[], object]):
     """A worker's one large object: kept for the next tasks of the same operator, dropped when a
     task asks for another or calls ``release``. Python workers live on from stage to stage."""
     if key not in _HELD:
-        _HELD.clear()
+        release()
         _HELD[key] = make()
     return _HELD[key]
 
 
 def release() -> None:
+    """Drop the held object, and give back what it and earlier tasks have left."""
     _HELD.clear()
+    trim()
+
+
+def trim() -> None:
+    """Give free memory back to the system. Arrow's pool and the C heap keep what is freed between
+    blocks that are in use, in a worker that lives on through all stages."""
+    pa.default_memory_pool().release_unused()
+    if _MALLOC_TRIM:
+        _MALLOC_TRIM(0)
 
 
 def make_importable(spark: SparkSession) -> None:
